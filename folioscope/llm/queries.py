@@ -1,0 +1,90 @@
+"""The registered queries of the training-data operators and, where SQL can express them, their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from folioscope.llm import rank_fusion, repeated_lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+P1_LINES = r"""
+with numbered as (
+  select chunk_id, source_id, document_url, title, unnest(string_split(text, chr(10))) as line,
+         unnest(range(len(string_split(text, chr(10))))) as line_no
+  from chunk where text is not null),
+said as (
+  select chunk_id, source_id, document_url, line_no,
+         regexp_extract_all(case when length(title) > 0 then replace(lower(line), lower(title), ' ') else lower(line) end, '\p{L}+') as w
+  from numbered),
+keyed as (select chunk_id, source_id, document_url, line_no, array_to_string(w, ' ') as said from said where len(w) >= 3),
+docs as (select source_id, count(distinct document_url) as of_docs from chunk group by source_id),
+frequent as (
+  select k.source_id, k.said from keyed k group by k.source_id, k.said
+  having count(distinct document_url) >= 3
+     and count(distinct document_url) >= 0.03 * (select of_docs from docs d where d.source_id = k.source_id))
+"""
+
+
+@query("p1_found", P1_LINES + """
+select distinct k.chunk_id, cast(k.line_no as int) as line_no
+from keyed k join frequent f on f.source_id = k.source_id and f.said = k.said
+""")
+def p1_found(spark, folder):
+    return repeated_lines.repeated_lines(table(spark, folder, "chunk"))
+
+
+@query("p1_cleaned_chunks")
+def p1_cleaned_chunks(spark, folder):
+    return repeated_lines.without_repeated_lines(table(spark, folder, "chunk"))
+
+
+P5_SQL = """
+with newest as (
+  select *, row_number() over (partition by query_id, chunk_id order by scored_at desc nulls last, lexical_score desc nulls last,
+         vector_score desc nulls last, graph_rank asc nulls last) as rn
+  from fusion_candidate where query_id is not null and chunk_id is not null),
+c as (
+  select query_id, chunk_id, case when isnan(lexical_score) then null else lexical_score end as a,
+         case when isnan(vector_score) then null else vector_score end as b, -cast(graph_rank as double) as g
+  from newest where rn = 1),
+r as (
+  select query_id, chunk_id,
+    case when a is null then 1.0 else (rank() over (partition by query_id order by a desc nulls last)
+      + (count(*) over (partition by query_id, a) - 1) / 2.0) / count(*) over (partition by query_id) end as ra,
+    case when b is null then 1.0 else (rank() over (partition by query_id order by b desc nulls last)
+      + (count(*) over (partition by query_id, b) - 1) / 2.0) / count(*) over (partition by query_id) end as rb,
+    case when g is null then 1.0 else (rank() over (partition by query_id order by g desc nulls last)
+      + (count(*) over (partition by query_id, g) - 1) / 2.0) / count(*) over (partition by query_id) end as rg
+  from c),
+s as (
+  select *, least(ra, rb, rg) as lo, greatest(ra, rb, rg) as hi, ra + rb + rg - least(ra, rb, rg) - greatest(ra, rb, rg) as mid from r),
+t as (
+  select *, least(1.0, 3 * least(1 - pow(1 - lo, 3), 3 * mid * mid - 2 * pow(mid, 3), pow(hi, 3))) as sig, (ra + rb + rg) / 3 as mr from s),
+p as (select *, row_number() over (partition by query_id order by round(sig, 12), round(mr, 12), chunk_id) as position from t)
+select p.query_id, p.chunk_id from p join search_query q on q.query_id = p.query_id where p.position <= q.wanted
+"""
+
+
+@query("p5_found", P5_SQL)
+def p5_found(spark, folder):
+    found = rank_fusion.fused_ranking(table(spark, folder, "fusion_candidate"), table(spark, folder, "search_query"))
+    return found.select("query_id", "chunk_id")
