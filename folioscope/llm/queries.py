@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import rank_fusion, repeated_lines
+from folioscope.llm import near_duplicates, rank_fusion, repeated_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,13 @@ select p.query_id, p.chunk_id from p join search_query q on q.query_id = p.query
 def p5_found(spark, folder):
     found = rank_fusion.fused_ranking(table(spark, folder, "fusion_candidate"), table(spark, folder, "search_query"))
     return found.select("query_id", "chunk_id")
+
+
+@query("p7_found")
+def p7_found(spark, folder):
+    return near_duplicates.near_duplicate_pairs(table(spark, folder, "chunk"))
+
+
+@query("p7_groups")
+def p7_groups(spark, folder):
+    return near_duplicates.near_duplicate_groups(table(spark, folder, "chunk"))
