@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import near_duplicates, rank_fusion, repeated_lines
+from folioscope.llm import near_duplicates, rank_fusion, repeated_lines, vector_neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,8 @@ def p7_found(spark, folder):
 @query("p7_groups")
 def p7_groups(spark, folder):
     return near_duplicates.near_duplicate_groups(table(spark, folder, "chunk"))
+
+
+@query("p4_found")
+def p4_found(spark, folder):
+    return vector_neighbours.neighbour_pairs(table(spark, folder, "chunk_embedding"))
