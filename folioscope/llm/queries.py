@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import near_duplicates, rank_fusion, repeated_lines, vector_neighbours
+from folioscope.llm import near_duplicates, rank_fusion, repeated_lines, vector_neighbours, wrong_encoding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,13 @@ def p7_groups(spark, folder):
 @query("p4_found")
 def p4_found(spark, folder):
     return vector_neighbours.neighbour_pairs(table(spark, folder, "chunk_embedding"))
+
+
+@query("p10_found")
+def p10_found(spark, folder):
+    return wrong_encoding.garbled_documents(table(spark, folder, "documents"))
+
+
+@query("p10_restored")
+def p10_restored(spark, folder):
+    return wrong_encoding.restored_documents(table(spark, folder, "documents"))
