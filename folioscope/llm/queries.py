@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import near_duplicates, rank_fusion, repeated_lines, vector_neighbours, wrong_encoding
+from folioscope.llm import mixing, near_duplicates, packing, rank_fusion, repeated_lines, vector_neighbours, wrong_encoding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,23 @@ def p10_found(spark, folder):
 @query("p10_restored")
 def p10_restored(spark, folder):
     return wrong_encoding.restored_documents(table(spark, folder, "documents"))
+
+
+@query("p8_packed")
+def p8_packed(spark, folder):
+    return packing.packed(table(spark, folder, "documents"), table(spark, folder, "pack_container"))
+
+
+@query("p8_report")
+def p8_report(spark, folder):
+    return packing.packing_report(p8_packed(spark, folder), table(spark, folder, "pack_container"))
+
+
+@query("p9_mixed")
+def p9_mixed(spark, folder):
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+@query("p9_shares")
+def p9_shares(spark, folder):
+    return mixing.mix_report(p9_mixed(spark, folder), table(spark, folder, "mix_target"))
