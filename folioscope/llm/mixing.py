@@ -5,8 +5,8 @@ asked for, if smaller). A source's documents are all used the same whole number
 with the same fraction as probability. Which ones get the extra use is drawn by the cube method: inclusion
 probabilities move along directions in which neither the tokens nor the number of documents of a source
 change, until they are 0 or 1. The flight runs in blocks of bounded size; each block leaves at most two
-undecided documents, which fly again together with those of other blocks. The last two of a source land
-where the tokens come closest to the target.
+undecided documents, which fly again together with those of other blocks. The last ones of a source land
+where the tokens come closest to the target, and a few single documents make up for the rest.
 
 A document's source and a target's mix_source are compared without outer spaces and letter case; documents
 without a source, of a source without a target, or without tokens are not used. Targets without documents
@@ -69,15 +69,24 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
     return np.array(p)
 
 
-def landing(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The outcome for the last undecided documents whose tokens come closest to the expected ones."""
+def landing(p: np.ndarray, tokens: np.ndarray, want: float, free: np.ndarray, swaps: int = 64) -> np.ndarray:
+    """The last undecided documents, rounded to come closest to the tokens wanted; what is still missing or too
+    much is made up by single documents among the free ones, each time the one of the fittest length."""
     open_ = np.nonzero((p > 0) & (p < 1))[0]
-    if not len(open_):
-        return p
-    want, n = float(p[open_] @ tokens[open_]), float(p[open_].sum())
-    ends = sorted(itertools.product((0.0, 1.0), repeat=len(open_)), key=lambda e: (abs(np.dot(e, tokens[open_]) - want), abs(sum(e) - n), e))
     out = p.copy()
-    out[open_] = ends[0]
+    if len(open_):
+        rest = want - float(np.delete(p, open_) @ np.delete(tokens, open_))
+        ends = sorted(itertools.product((0.0, 1.0), repeat=len(open_)), key=lambda e: (abs(np.dot(e, tokens[open_]) - rest), e))
+        out[open_] = ends[0]
+    for _ in range(swaps):
+        over = float(out @ tokens) - want
+        at = np.nonzero(free & (out == (1.0 if over > 0 else 0.0)))[0]
+        if not len(at):
+            break
+        best = at[np.argmin(np.abs(abs(over) - tokens[at]))]
+        if abs(abs(over) - tokens[best]) >= abs(over):
+            break
+        out[best] = 1.0 - out[best]
     return out
 
 
@@ -93,9 +102,10 @@ def _fly(rows: DataFrame, seed: int, last: bool) -> DataFrame:
         source, block = table.column("mix_source")[0].as_py(), table.column("block")[0].as_py()
         rng = np.random.default_rng([seed, zlib.crc32(source.encode()), block])
         tokens, p = table.column("n_tokens").to_numpy().astype(float), table.column("p").to_numpy().astype(float)
+        want, free = float(p @ tokens), (p > EPS) & (p < 1 - EPS)
         p = flight(p, tokens, rng)
         if last:
-            p = landing(p, tokens)
+            p = landing(p, tokens, want, free)
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
 
     return rows.groupBy("mix_source", "block").applyInArrow(run, rows.schema)
