@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import mixing, near_duplicates, packing, rank_fusion, repeated_lines, vector_neighbours, wrong_encoding
+from folioscope.llm import main_body, mixing, near_duplicates, packing, rank_fusion, repeated_lines, vector_neighbours, wrong_encoding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,8 @@ def p9_mixed(spark, folder):
 @query("p9_shares")
 def p9_shares(spark, folder):
     return mixing.mix_report(p9_mixed(spark, folder), table(spark, folder, "mix_target"))
+
+
+@query("p6_found")
+def p6_found(spark, folder):
+    return main_body.main_blocks(table(spark, folder, "page_outcome"), table(spark, folder, "section"))
