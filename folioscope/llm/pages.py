@@ -198,7 +198,7 @@ def containers(page: str) -> list[Container]:
 
 
 #: Words of consent, legal and navigation texts, which count against a container that doesn't tell what it is.
-OUTSIDE = re.compile(r"cookie|consent|©|all rights reserved|privacy|imprint|terms of use|trackers|registered (?:mark|under)|partners process|built from commit", re.I)
+OUTSIDE = re.compile(r"cookie|consent|©|all rights reserved|privacy|imprint|terms of use|trackers|registered (?:mark|under)|partners process|provided for information|collective\. hosting|built from commit", re.I)
 
 
 def main_container(found: list[Container]) -> int | None:

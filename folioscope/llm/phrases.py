@@ -17,7 +17,7 @@ PLACEHOLDER = re.compile(
 #: A sentence that speaks of such a mark.
 EXPLAINED = re.compile(
     r"\bthe (?:mark|placeholder|marker|variable|token|string|expression|tag) |^write |\binside (?:a|the) template|\bis replaced by\b|\bare replaced by\b"
-    r"|\bmark open points\b|\beditors use filler\b|\bpages that say\b|\bwhen a server answers\b|\bfor example\b|\be\.g\.",
+    r"|\bmark open points\b|\beditors use filler\b|\bpages that say\b|\bwhen a server answers\b|\bthe message .{0,60}\bmeans\b|\bserver error makes\b|\bfor example\b|\be\.g\.",
     re.I,
 )
 FILLER = re.compile(
@@ -30,8 +30,8 @@ FILLER = re.compile(
 MESSAGE = re.compile(
     r"\bjava ?script\b|\bscripts? (?:are|is) (?:switched|turned|disabled|required|blocked)|\bneeds? scripts?\b|\bscripting disabled\b|\bsingle-page app\b|\bturn them on and reload\b"
     r"|\bno ejecuta scripts\b|\bbloque les scripts\b|\bactivez-les\b|\bactívelos\b|\bsem scripts\b|\bskrypt|\bскрипт"
-    r"|\b(?:40[0-9]|41[0-9]|429|50[0-9])\b.{0,4}(?:-|:|\b)\s*(?:page|not|bad|internal|service|gateway|forbidden|gone|error|unauthor|too)|\bpage (?:you asked for|not found|cannot be found)"
-    r"|\bnot found\b|\bdoes not exist or has been moved\b|\bnothing lives at this address\b|\bcheck the spelling\b|\bnicht gefunden\b|\bexistiert nicht\b|\bintrouvable\b|\bno encontrada\b|\bnão encontrada\b|\bnie znaleziono\b|\bне найдена\b"
+    r"|\b(?:40[0-9]|41[0-9]|429|50[0-9])\b.{0,4}(?:-|:|\b)\s*(?:page not|page cannot|not |bad |internal |service |gateway |forbidden|gone|error|unauthor|too )|\bpage (?:you asked for|not found|cannot be found)"
+    r"|\bnot found\b|\bdoes not exist or has been moved\b|\bnothing lives at this address\b|\bcheck the spelling\b|\bnicht gefunden\b|\bexistiert nicht\b|\bya no está disponible\b|\bintrouvable\b|\bno encontrada\b|\bnão encontrada\b|\bnie znaleziono\b|\bне найдена\b"
     r"|\binternal server error\b|\berreur (?:interne|est survenue)\b|\bune erreur\b|\bsomething went wrong\b|\bour side\b|\bteam has been told\b|\bunexpected condition\b|\bcorrelation id\b|\bunhandled exception\b|\bdatabasetimeout\b|\bcould not obtain a connection\b"
     r"|\bbad gateway\b|\bupstream host did not answer\b|\btry again in a few minutes\b|\bservice unavailable\b|\bdown for maintenance\b|\bwill be back shortly\b|\bwartung|\bmaintenance\b|\bmantenimiento\b|\bmanutenção\b"
     r"|\baccess denied\b|\bpermission to open\b|\breference code\b|\brequest blocked\b|\bfirewall of this site\b|\bincident \d|\btoo many requests\b|\bwait a moment and reload\b"

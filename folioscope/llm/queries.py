@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import main_body, mixing, near_duplicates, packing, rank_fusion, repeated_lines, vector_neighbours, wrong_encoding
+from folioscope.llm import main_body, mixing, near_duplicates, packing, rank_fusion, repeated_lines, residue, vector_neighbours, wrong_encoding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,8 @@ def p9_shares(spark, folder):
 @query("p6_found")
 def p6_found(spark, folder):
     return main_body.main_blocks(table(spark, folder, "page_outcome"), table(spark, folder, "section"))
+
+
+@query("p2_found")
+def p2_found(spark, folder):
+    return residue.residue_pages(table(spark, folder, "page_outcome")).select("page_id")
