@@ -9,6 +9,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: File endings of pages that may hold HTML.
 HTML_ENDINGS = ("", "htm", "html", "xhtml", "shtml", "php", "asp", "aspx", "jsp")
@@ -36,7 +37,7 @@ def join_url(base: str | None, href: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def joined_url(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([join_url(b, h) for b, h in zip(base, href)], dtype=object)
 
@@ -51,7 +52,7 @@ def is_public(address: str | None) -> bool:
     return ip.is_global and not ip.is_multicast
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def public_address(address: pd.Series) -> pd.Series:
     return address.map(is_public)
 
@@ -93,7 +94,7 @@ def header(headers: Column, name: str) -> Column:
     return F.get(found, 0)["value"].cast("string")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def valid_http_date(value: pd.Series) -> pd.Series:
     def good(x: str | None) -> bool:
         try:

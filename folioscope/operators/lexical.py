@@ -91,10 +91,14 @@ def bm25(tf: Column, length: Column, docs: Column, found: Column, mean_length: C
     return rarity * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
 
 
+def _times(said: str, term: str) -> Column:
+    return F.size(F.filter(said, lambda x: x == term))
+
+
 def _field_matches(chunks: DataFrame, field: str, terms: list[str], keep: Column, pattern: str | None) -> DataFrame:
     """One scan for the statistics (an aggregate of one row) and one for the matches; no shuffle of texts."""
     said = chunks.withColumn("said", tokens(F.col(field)))
-    tf = [F.size(F.filter("said", lambda x, t=t: x == t)) for t in terms]
+    tf = [_times("said", t) for t in terms]
     counted = said.select(F.size("said").alias("length"), *[c.alias(f"tf_{i}") for i, c in enumerate(tf)])
     stats = counted.agg(
         F.count("*").alias("docs"), F.avg("length").alias("mean_length"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]
