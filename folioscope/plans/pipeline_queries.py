@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.html_extract import document_sections, extracted
 from folioscope.functions.urls import html_candidate, in_scope, path_depth, under_prefix, without_fragment
 from folioscope.operators import chunking, crawling, history
 from folioscope.plans.registry import query, table
@@ -240,3 +241,35 @@ def section_block_counts(spark, folder):
     return rows.groupBy("source_id", F.col("b.kind").alias("kind")).agg(
         F.count("*").alias("blocks"), F.sum(F.col("b.links").cast("long")).alias("links"), F.sum(F.length("b.text").cast("long")).alias("characters")
     )
+
+
+@query("extracted_sections")
+def extracted_sections(spark, folder):
+    """The whole of page_outcome through the structural extractor."""
+    found = extracted(table(spark, folder, "page_outcome"))
+    return document_sections(found.withColumn("title", F.col("title"))).select(
+        "document_url", "section_id", "parent_id", "heading", "heading_level", "anchor", F.size("blocks").alias("n_blocks")
+    )
+
+
+@query(
+    "extraction_outcomes",
+    HEADER_SQL + """select page_id, case when state <> 'Fetched' or status not between 200 and 299 or coalesce(content_truncated, false) then 'FetchNotSuccessful'
+      when bytes > 16777216 then 'InputTooLarge' when media not in ('', 'text/html', 'application/xhtml+xml') then 'UnsupportedContentType'
+      when charset not in ('utf-8', 'utf8', 'us-ascii') then 'UnsupportedEncoding' when coalesce(bytes, 0) = 0 then 'EmptyContent' else 'Read' end as metadata_outcome from u""",
+)
+def extraction_outcomes(spark, folder):
+    found = extracted(table(spark, folder, "page_outcome"))
+    metadata = ("FetchNotSuccessful", "InputTooLarge", "UnsupportedContentType", "UnsupportedEncoding")
+    empty = (F.col("reject_reason") == "EmptyContent") & (F.col("had_body") == 0)
+    sizes = table(spark, folder, "page_outcome").select("page_id", F.coalesce(F.length("raw_body"), F.lit(0)).alias("had_body"))
+    outcome = F.when(F.col("reject_reason").isin(*metadata) | empty, F.col("reject_reason")).otherwise("Read")
+    return found.select("page_id", "reject_reason").join(sizes, "page_id").select("page_id", outcome.alias("metadata_outcome"))
+
+
+@query("chunk_pages")
+def chunk_pages(spark, folder):
+    """From captured bytes to chunks with their hashes, in one plan."""
+    order = Window.partitionBy("source_id", "final_url").orderBy("page_id")
+    pages = table(spark, folder, "page_outcome").where("state = 'Fetched'").withColumn("n", F.row_number().over(order)).where("n = 1")
+    return chunking.chunked(document_sections(extracted(pages)), 2_400).select("chunk_id", "document_url", "section_id", "sequence", "content_sha256", "char_count", "oversized")
