@@ -154,7 +154,7 @@ def containers(page: str) -> list[Container]:
             continue
         flush()
         if tag in BOXES:
-            attrs = m.group(3)
+            attrs = m.group(3).replace("'", '"')
             if closing:
                 while boxes and boxes[-1][0] != tag and len(boxes) > 1:
                     boxes.pop()

@@ -67,7 +67,8 @@ def _tables(name: str) -> tuple[dict[str, int], list[str | None]]:
 
 _TABLE = {n: _tables(n) for n in {b for c in CHAINS for _, b in c} | {a for c in CHAINS for a, _ in c if a != "utf-8"}}
 _DECODE = {n: str.maketrans({chr(i): c for i, c in enumerate(t[1])}) for n, t in _TABLE.items()}
-_ENCODE = {n: {ord(c): i for c, i in t[0].items()} for n, t in _TABLE.items()}
+#: A letter of Latin-1 that an encoding lacks can't be written in it, though its number would fit a byte.
+_ENCODE = {n: {i: "\uffff" for i in range(128, 256)} | {ord(c): i for c, i in t[0].items()} for n, t in _TABLE.items()}
 
 
 def to_bytes(text: str, name: str) -> bytes | None:
