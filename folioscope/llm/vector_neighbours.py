@@ -31,12 +31,11 @@ from folioscope.sources.staging import stage
 class Index:
     sample: int = 20_000
     rounds: int = 8
-    cells_per_root: float = 2.0
+    cells_per_root: float = 4.0
     max_cells: int = 16_384
     parts: int = 16
     codes: int = 256
     probes: int = 24
-    probe_share: float = 0.12
     rerank: int = 24
     member_block: int = 4_096
     asker_block: int = 4_096
@@ -162,8 +161,7 @@ def assigned(units: DataFrame, models, index: Index) -> tuple[DataFrame, DataFra
         for batch in batches:
             for key, at in _groups(batch):
                 c = shared.value[key][0]
-                n = max(1, min(len(c), max(index.probes, int(index.probe_share * len(c)) if len(c) < 1000 else index.probes)))
-                cells = _nearest(_matrix(batch.column(2), at, key[1]).astype(np.float32), c, n)
+                cells = _nearest(_matrix(batch.column(2), at, key[1]).astype(np.float32), c, index.probes)
                 take = pa.array(np.repeat(at, cells.shape[1]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(cells.reshape(-1).astype(np.int32)),

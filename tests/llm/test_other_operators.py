@@ -44,7 +44,7 @@ def test_neighbours_with_copies_ties_and_spaces(spark):
     got = {(r.embedding_a, r.embedding_b) for r in vn.neighbour_pairs(spark.createDataFrame(rows, EMB)).collect()}
     want = brute_neighbours(good, 5)
     assert len(got & want) / len(want) > 0.97 and len(got & want) / len(got) > 0.97
-    full = vn.Index(probes=10_000, probe_share=1.0, rerank=10_000, member_block=64, asker_block=50)
+    full = vn.Index(probes=10_000, rerank=10_000, member_block=64, asker_block=50)
     got = {(r.embedding_a, r.embedding_b) for r in vn.neighbour_pairs(spark.createDataFrame(rows, EMB), index=full).collect()}
     assert got == want
     assert vn.neighbour_pairs(spark.createDataFrame([], EMB)).count() == 0
