@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.pages import containers, decoded, main_container
@@ -39,13 +39,13 @@ class Furniture:
     """depth: tokens compared of each suffix. A run repeats if min_pages and min_share of a shard's addresses have it."""
 
     depth: int = 16
-    min_pages: int = 3
-    min_share: float = 0.008
+    min_pages: int = 4
+    min_share: float = 0.03
     covered: float = 0.8
     shard_pages: int = 1_000
     hosts: int = 3
     host_pages: int = 4
-    host_share: float = 0.0002
+    host_share: float = 0.005
 
 
 def suffix_array(tokens: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +118,19 @@ def page_marks(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "page_id long, source_id string, prints array<long>, marks array<int>")
 
 
+def _alike(text: Column) -> Column:
+    """A hash of a text without its numbers and the name of its host."""
+    named = F.replace(F.lower(text), F.lower(F.coalesce("source_id", F.lit(""))), F.lit("\u0001"))
+    return F.xxhash64(F.regexp_replace(named, r"\d+", "0"))
+
+
 def shared_blocks(sections: DataFrame, rule: Furniture) -> DataFrame:
-    """hash of the texts that enough addresses of several hosts have.
+    """hash of the texts that enough addresses of several hosts have; numbers and the host's name may differ.
 
     At most (blocks of a page) / host_share rows, whatever the number of pages.
     """
     seen = sections.select("source_id", "document_url", F.explode("blocks").alias("b")).where("b.kind in ('paragraph', 'list') and length(b.text) < 400")
-    each = seen.select(F.xxhash64("b.text").alias("h"), "source_id", F.xxhash64("document_url").alias("u")).distinct()
+    each = seen.select(_alike(F.col("b.text")).alias("h"), "source_id", F.xxhash64("document_url").alias("u")).distinct()
     by_host = each.groupBy("h", "source_id").agg(F.count("*").alias("n"))
     least = max(rule.host_pages, rule.host_share * sections.select(F.approx_count_distinct("document_url")).first()[0])
     return by_host.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).where(f"n >= {least} and hosts >= {rule.hosts}").select("h")
@@ -219,7 +225,7 @@ def main_blocks(pages: DataFrame, sections: DataFrame, rule: Furniture = Furnitu
         shard = F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1)))
         return joined.withColumn("shard", shard).withColumn("source_id", F.coalesce("source_id", F.lit(""))).drop("shards")
 
-    left = sharded(cut.withColumn("hashes", F.transform("blocks", lambda b: F.xxhash64(b["text"]))))
+    left = sharded(cut.withColumn("hashes", F.transform("blocks", lambda b: _alike(b["text"]))))
     right = sharded(page_marks(pages))
     by = ["source_id", "shard"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_main_blocks(rule, shared), "page_id long, section_id int, block_idx int")

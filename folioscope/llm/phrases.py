@@ -23,7 +23,7 @@ EXPLAINED = re.compile(
 FILLER = re.compile(
     r"\blorem ipsum\b|\bdolor sit amet\b|\btodo: |^todo\b|^tbd\b|\btbd\. tbd\b|\basdf\b|\bxxx xxx\b|\bfill me in\b|\btext to follow\b|\bcoming soon\b|\bcheck back later\b"
     r"|\bplaceholder (?:copy|text)\b|\bto be replaced before launch\b|\binsert (?:body )?(?:copy|text) here\b|\bdummy (?:content|text)\b|\bsample paragraph\b"
-    r"|\bdescribe the feature in this spot\b|\bask the writers\b|\bblindtext\b|\bsection title\b|\bheadline goes here\b|\bgoes here\b"
+    r"|\bdescribe the feature in this spot\b|\bask the writers\b|\bblindtext\b|\bsection title\b|\bheadline goes here\b|\bgoes here\b|\bclick to edit\b|\btell your visitors\b|\badd two or three sentences\b"
     r"|\btexte? (?:de remplissage|à venir|provisoire)\b|\btexto (?:de relleno|de prueba|provisional|de preenchimento)\b|\btekst zastępczy\b|\bplatzhalter",
     re.I,
 )
@@ -36,7 +36,8 @@ MESSAGE = re.compile(
     r"|\bbad gateway\b|\bupstream host did not answer\b|\btry again in a few minutes\b|\bservice unavailable\b|\bdown for maintenance\b|\bwill be back shortly\b|\bwartung|\bmaintenance\b|\bmantenimiento\b|\bmanutenção\b"
     r"|\baccess denied\b|\bpermission to open\b|\breference code\b|\brequest blocked\b|\bfirewall of this site\b|\bincident \d|\btoo many requests\b|\bwait a moment and reload\b"
     r"|\bsign in to continue\b|\bsession has expired\b|\blog in again\b|\bone more step\b|\bconnection is secure\b|\btakes a few seconds\b|\boops\b|\bdidn['’]t work\b|\bgo back to the start page\b"
-    r"|\bgone\. this version\b|\bhas been withdrawn\b|\bno replacement was named\b|\bnothing can be shown\b|\bunfortunately\b|\bsorry\b",
+    r"|\bgone\. this version\b|\bhas been withdrawn\b|\bno replacement was named\b|\bnothing can be shown\b|\bunfortunately\b|\bsorry\b|^just a moment\b|\blooked everywhere\b|\bnot available in your (?:region|country)\b|\bthis is a mistake\b|\bcontact support\b"
+    r"|\ballow scripts\b|\breader cannot start\b|^loading(?:\W*$| the )|^gone\.?$|^error\.?$",
     re.I,
 )
 #: What heads a list of links to neighbouring or related pages.
