@@ -29,10 +29,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     The table is columnar and compressed, survives lost executors, and gives the planner its true size.
     """
     path = f"{shared_dir(df.sparkSession)}/stage-{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_staged: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the staged tables of this process, once the results that read them are written; how many there were."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_staged)
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A staged df with a broadcast hint if it was counted to be small, else as it is for a shuffled join."""
     return df.hint("broadcast") if df.count() <= rows else df.hint("merge")

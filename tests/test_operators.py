@@ -247,3 +247,15 @@ def test_validators():
     for f, a in ((validate.context, (4,)), (validate.graph, (9,)), (validate.metadata, ("https://a.test/?q",)), (validate.rank_lists, ([["a", "a"]],)), (validate.embedding_space, ("p", "m", 0))):
         with pytest.raises(validate.Invalid):
             f(*a)
+
+
+def test_staged_tables_are_released(spark):
+    import os
+
+    from folioscope.sources import staging
+
+    df = staging.stage(spark.range(10), "test")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 10 and os.path.exists(path)
+    assert staging.small_or_shuffled(df, 5).join(df, "id").count() == staging.small_or_shuffled(df).join(df, "id").count() == 10
+    assert staging.release(spark) >= 1 and not os.path.exists(path)
