@@ -35,7 +35,7 @@ class Index:
     max_cells: int = 16_384
     parts: int = 16
     codes: int = 256
-    probes: int = 24
+    probes: int = 16
     rerank: int = 24
     member_block: int = 4_096
     asker_block: int = 4_096
@@ -194,15 +194,22 @@ def _search_block(models, index: Index, keep: int):
         q_id, m_id = asking.column("did").to_numpy(), held.column("did").to_numpy()
         center, top = c[cell], min(index.rerank, len(m))
         found_q, found_m, found_s = [], [], []
+        short = len(m) < index.codes
+        # Of each part, the codewords whose distances are tabulated: all, or in a small block only the members' own.
+        words = [w[codes[:, part]] if short else w for part, w in enumerate(books)]
         for start in range(0, len(q), 256):
             x = q[start : start + 256]
             rest = x.astype(np.float32) - center
             far = np.zeros((len(x), len(m)), np.float32)
-            for part, (w, a, b) in enumerate(zip(books, bounds, bounds[1:])):
-                table = ((rest[:, None, a:b] - w[None]) ** 2).sum(2)
-                far += table[:, codes[:, part]]
+            for part, (w, a, b) in enumerate(zip(words, bounds, bounds[1:])):
+                table = (w * w).sum(1) - 2 * rest[:, a:b] @ w.T
+                far += table if short else table[:, codes[:, part]]
             near = np.argpartition(far, top - 1, axis=1)[:, :top] if top < len(m) else np.broadcast_to(np.arange(len(m)), far.shape)
-            exact = np.round(np.einsum("qd,qnd->qn", x, m[near]), 9)
+            if len(m) <= 8 * top:
+                exact = np.take_along_axis(x @ m.T, near, 1)
+            else:
+                exact = np.einsum("qd,qnd->qn", x, m[near])
+            exact = np.round(exact, 9)
             ids = m_id[near]
             order = np.lexsort((ids, -exact), axis=1)[:, :keep]
             found_q.append(np.repeat(q_id[start : start + 256], order.shape[1]))
