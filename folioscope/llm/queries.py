@@ -52,7 +52,16 @@ def p1_found(spark, folder):
     return repeated_lines.repeated_lines(table(spark, folder, "chunk"))
 
 
-@query("p1_cleaned_chunks")
+@query("p1_cleaned_chunks", P1_LINES + """,
+found as (select distinct k.chunk_id, k.line_no from keyed k join frequent f on f.source_id = k.source_id and f.said = k.said),
+one as (select chunk_id, max(text) as text from chunk group by chunk_id),
+cut as (select chunk_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from one where text is not null),
+kept as (select c.chunk_id, string_agg(c.line, chr(10) order by c.line_no) as text from cut c
+  where not exists (select 1 from found f where f.chunk_id = c.chunk_id and f.line_no = c.line_no) group by c.chunk_id),
+gone as (select chunk_id, count(*) as n from found group by chunk_id)
+select o.chunk_id, case when o.text is null then null else coalesce(k.text, '') end as text, cast(coalesce(g.n, 0) as int) as lines_removed
+from one o left join kept k on k.chunk_id = o.chunk_id left join gone g on g.chunk_id = o.chunk_id
+""")
 def p1_cleaned_chunks(spark, folder):
     return repeated_lines.without_repeated_lines(table(spark, folder, "chunk"))
 
