@@ -1,13 +1,14 @@
 """Groups and pairs of texts that are copies of each other up to small edits.
 
 One-permutation hashing gives each set of word shingles a signature in one pass; empty bins are filled by
-optimal densification. Bands of signature rows make buckets; every member of a bucket is linked to one
-member only (a star), and each link is verified on the shingle sets themselves. Verified links are closed
-over their common neighbours, so members of one family that never shared a star are compared as well.
+optimal densification. Bands of signature rows make buckets. Any two members of a bucket are compared on the
+shingle sets themselves; of the members of large buckets, any two whose rarest shingles leave room for the
+threshold. Verified links are closed over their common neighbours, so members of one family that never shared
+a bucket are compared as well.
 
 Equal texts are one class from the start: a class is sketched and compared once, however
-many copies it has. Buckets that hold a large part of all classes are found on a sample and their stars
-built in two levels, so no task gets a whole hot bucket; the result is the same.
+many copies it has. Buckets that hold a large part of all classes are found on a sample and never made into
+one list, so no task gets a whole hot bucket; the result is the same.
 
 Null texts, null ids and texts of fewer than min_words words take no part. Repeated rows of one chunk_id
 are one chunk (of differing texts the last crawl's). Extra columns are ignored. An empty table gives no rows.
@@ -31,7 +32,10 @@ WORD = r"\p{L}\p{N}"
 
 @dataclass(frozen=True)
 class Sketch:
-    """threshold: least shared / all of two shingle sets. bands of rows bins each make the signature."""
+    """threshold: least shared / all of two shingle sets. bands of rows bins each make the signature.
+
+    bucket_pairs: members of a bucket up to which all its pairs are candidates as they are.
+    """
 
     shingle: int = 5
     threshold: float = 0.8
@@ -42,6 +46,7 @@ class Sketch:
     hot_rows: int = 64_000
     hot_sample: int = 64
     salts: int = 32
+    bucket_pairs: int = 64
 
 
 #: The documents' own near-copy definition: three words, half of all shingles.
@@ -122,24 +127,48 @@ def band_rows(classes: DataFrame, sketch: Sketch) -> DataFrame:
     return classes.select("cid", "grams").mapInArrow(lambda it: _band_keys(it, bands, rows), "bucket long, cid long")
 
 
-def star_links(classes: DataFrame, sketch: Sketch) -> DataFrame:
-    """a < b: candidate links, each bucket's members with its smallest one."""
+def candidate_links(classes: DataFrame, sketch: Sketch) -> DataFrame:
+    """a < b: every two members of a bucket of at most bucket_pairs, and of the members of larger buckets every
+    two whose shingles leave room for the threshold."""
     buckets = band_rows(classes, sketch)
     sampled = band_rows(classes.where(F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(sketch.hot_sample)) == 0), sketch)
     least = max(sketch.hot_rows, sketch.hot_share * classes.count()) / sketch.hot_sample
     # At most bands / hot_share rows, whatever the input.
     hot = [r[0] for r in sampled.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()]
-    salt = F.when(F.col("bucket").isin(hot), F.pmod("cid", F.lit(sketch.salts))) if hot else F.lit(None)
-    first = _stars(buckets.withColumn("salt", salt.cast("long")), ["bucket", "salt"])
-    links = first.where("center <> cid").select("center", "cid")
+    cold = buckets.where(~F.col("bucket").isin(hot)) if hot else buckets
+    # A bucket that is not hot is short enough for one list.
+    lists = cold.groupBy("bucket").agg(F.sort_array(F.collect_list("cid")).alias("m")).where("size(m) > 1").select("m")
+    lists = stage(lists.distinct(), "buckets")
+    firsts = lists.where(F.size("m") <= sketch.bucket_pairs).select("m", F.posexplode("m").alias("i", "a"))
+    near = firsts.select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
+    crowd = lists.where(F.size("m") > sketch.bucket_pairs).select(F.explode("m").alias("cid"))
     if hot:
-        centers = first.where("salt is not null").select("bucket", F.col("center").alias("cid")).distinct()
-        links = links.unionByName(_stars(centers, ["bucket"]).where("center <> cid").select("center", "cid"))
-    return links.select(F.least("center", "cid").alias("a"), F.greatest("center", "cid").alias("b")).distinct()
+        crowd = crowd.unionByName(buckets.where(F.col("bucket").isin(hot)).select("cid"))
+    crowd = stage(crowd.distinct().join(classes, "cid"), "crowd")
+    return near.unionByName(prefix_links(crowd, sketch)).distinct()
 
 
-def _stars(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.withColumn("center", F.min("cid").over(Window.partitionBy(*by)))
+def prefix_links(crowd: DataFrame, sketch: Sketch) -> DataFrame:
+    """a < b: every two of the crowd that can reach the threshold, by their rarest shingles (none is missed).
+
+    With all shingles in one order, two sets that share enough have their first common shingle early in both:
+    so early that what follows it still suffices. Text that a crowd has in common comes last in that order.
+    """
+    t = sketch.threshold
+    grams = crowd.select("cid", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("cid").orderBy("held", "gram")
+    placed = grams.join(often, "gram").withColumn("pos", F.row_number().over(order))
+    # A shingle of one text alone takes a place but meets nothing.
+    placed = stage(placed.where((F.col("held") > 1) & (F.col("pos") <= F.col("n") * (1 - t) + 1 + 1e-6)), "prefixes")
+    spread = F.when(F.col("held") > sketch.hot_rows / sketch.salts, F.lit(sketch.salts)).otherwise(F.lit(1))
+    y = placed.select("gram", F.pmod("cid", spread).alias("salt"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    x = placed.where(F.col("pos") <= F.col("n") * (1 - 2 * t / (1 + t)) + 1 + 1e-6)
+    x = x.select("gram", F.explode(F.sequence(F.lit(0).cast("long"), spread.cast("long") - 1)).alias("salt"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    both = x.join(y, ["gram", "salt"]).where("nx < ny or (nx = ny and x < y)").where(F.col("nx") >= t * F.col("ny") - 1e-6)
+    room = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    both = both.where(room >= t / (1 + t) * (F.col("nx") + F.col("ny")) - 1e-6)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def verified(links: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -152,13 +181,13 @@ def verified(links: DataFrame, classes: DataFrame, threshold: float) -> DataFram
 
 def class_links(classes: DataFrame, sketch: Sketch) -> DataFrame:
     """Every verified link a < b between different classes."""
-    candidates = small_or_shuffled(stage(star_links(classes, sketch), "candidates"))
-    stars = stage(verified(candidates, classes, sketch.threshold), "stars")
-    ends = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    candidates = small_or_shuffled(stage(candidate_links(classes, sketch), "candidates"))
+    tried = stage(verified(candidates, classes, sketch.threshold), "tried")
+    ends = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     x, y = ends.alias("x"), ends.alias("y")
     around = x.join(y, F.col("x.a") == F.col("y.a")).where("x.b < y.b").select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
-    fresh = around.distinct().join(stars, ["a", "b"], "left_anti")
-    return stars.unionByName(verified(fresh, classes, sketch.threshold))
+    fresh = around.distinct().join(tried, ["a", "b"], "left_anti")
+    return tried.unionByName(verified(fresh, classes, sketch.threshold))
 
 
 def _linked(chunks: DataFrame, sketch: Sketch) -> tuple[DataFrame, DataFrame]:

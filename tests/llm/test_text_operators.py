@@ -95,6 +95,40 @@ def test_hot_buckets_in_two_levels_give_the_same_groups(spark):
     assert nd.near_duplicate_pairs(frame(spark, [])).count() == 0
 
 
+def test_pairs_in_a_third_of_all_rows_that_share_a_boilerplate(spark):
+    rng = random.Random(7)
+    shared = [f"b{i}" for i in range(130)]
+    texts = {}
+    for i in range(0, 400, 2):
+        part = [f"p{i}x{k}" for k in range(16)]
+        for j in (i, i + 1):
+            texts[f"g{j:03d}"] = " ".join(shared + part + [f"o{j}x{k}" for k in range(54)])
+    texts |= {f"f{i:03d}": " ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for i in range(800)}
+    wanted = brute_pairs(texts, 3, 0.5, 40)
+    assert wanted == {(f"g{i:03d}", f"g{i + 1:03d}") for i in range(0, 400, 2)}
+    rows = frame(spark, [chunk(k, t) for k, t in texts.items()])
+    got = {(r.chunk_a, r.chunk_b) for r in nd.near_duplicate_pairs(rows).collect()}
+    assert got <= wanted and len(got) >= 0.99 * len(wanted)
+    from dataclasses import replace
+
+    salted = replace(nd.CHUNK_COPIES, hot_rows=1, hot_sample=1, hot_share=0.1, salts=4)
+    assert {(r.chunk_a, r.chunk_b) for r in nd.near_duplicate_pairs(rows, salted).collect()} == wanted
+    assert nd.near_duplicate_groups(rows).where("n_links = 1").count() >= 0.99 * 400
+
+
+def test_rarest_shingles_miss_no_pair(spark):
+    rng = random.Random(8)
+    texts = {}
+    for i in range(120):
+        common = [f"b{k}" for k in range(rng.randrange(20, 90))]
+        texts[f"t{i:03d}"] = " ".join(common + [f"r{rng.randrange(60)}" for _ in range(rng.randrange(20, 60))])
+    _, classes = nd.text_classes(frame(spark, [chunk(k, t) for k, t in texts.items()]), nd.CHUNK_COPIES)
+    sets = {r.cid: set(r.grams) for r in classes.collect()}
+    keys = sorted(sets)
+    near = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert len(near) > 100 and near <= {(r.a, r.b) for r in nd.prefix_links(classes, nd.CHUNK_COPIES).collect()}
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**31, 400)
