@@ -27,6 +27,12 @@ FILLER = re.compile(
     r"|\btexte? (?:de remplissage|à venir|provisoire)\b|\btexto (?:de relleno|de prueba|provisional|de preenchimento)\b|\btekst zastępczy\b|\bplatzhalter",
     re.I,
 )
+#: One of these stands in every text that FILLER matches, in lower case.
+FILLER_WORDS = (
+    "lorem ipsum", "dolor sit amet", "todo", "tbd", "asdf", "xxx xxx", "fill me in", "text to follow", "coming soon", "check back later", "placeholder ",
+    "to be replaced before launch", "insert ", "dummy ", "sample paragraph", "describe the feature in this spot", "ask the writers", "blindtext", "section title",
+    "goes here", "click to edit", "tell your visitors", "add two or three sentences", "de remplissage", "à venir", "provisoire", "texto ", "tekst zastępczy", "platzhalter",
+)
 MESSAGE = re.compile(
     r"\bjava ?script\b|\bscripts? (?:are|is) (?:switched|turned|disabled|required|blocked)|\bneeds? scripts?\b|\bscripting disabled\b|\bsingle-page app\b|\bturn them on and reload\b"
     r"|\bno ejecuta scripts\b|\bbloque les scripts\b|\bactivez-les\b|\bactívelos\b|\bsem scripts\b|\bskrypt|\bскрипт"

@@ -5,7 +5,8 @@ its length, and whether the page's title holds it. The labels it learns from are
 response status (the sentences of failed responses are messages). Some hosts are left out of the training and
 show how well it does on hosts it has not seen.
 
-A page is a case if its main body holds an unfilled placeholder or filler outside of code and outside of
+A page is a case if its main body holds an unfilled placeholder or filler (by phrase, or by a score above a
+margin that hosts left out of the training set) outside of code and outside of
 a sentence that explains it, or if messages stand in its main body and hardly anything else does. Text in
 a noscript element counts only where the main body is empty.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.main_body import _link_list
 from folioscope.llm.pages import Container, containers, decoded, main_container
-from folioscope.llm.phrases import EXPLAINED, FILLER, MESSAGE, PLACEHOLDER
+from folioscope.llm.phrases import EXPLAINED, FILLER, FILLER_WORDS, MESSAGE, PLACEHOLDER
 from folioscope.sources.staging import stage
 
 BUCKETS = 1 << 17
@@ -45,7 +46,11 @@ SUSPECT = re.compile(r"[{}%@&<\[$]|__|MERGE")
 
 @dataclass(frozen=True)
 class Fit:
-    """sample_pages: pages that labelled sentences are taken from, the first by hash, proper and failed alike."""
+    """sample_pages: pages that labelled sentences are taken from, the first by hash, proper and failed alike.
+
+    sure_share: of the proper sentences of unseen hosts, those that score less than the margin for residue without
+    a phrase, which is sure_least at least.
+    """
 
     sample_pages: int = 3_000
     proper_sentences: int = 6_000
@@ -56,6 +61,8 @@ class Fit:
     other_words: int = 6
     share_of_words: float = 0.15
     furniture_pages: int = 4
+    sure_share: float = 0.999
+    sure_least: float = 1.0
 
 
 def sentences(found: list[Container]) -> tuple[list[str], list[bool], str]:
@@ -116,12 +123,16 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Linear:
-    """A weight for each bucket and kind of residue; held_out is its accuracy on sentences of unseen hosts."""
+    """A weight for each bucket and kind of residue; held_out is its accuracy on sentences of unseen hosts.
+
+    A sentence that scores above sure for RESIDUE is one without any phrase.
+    """
 
     weights: np.ndarray
     bias: np.ndarray
     held_out: float = float("nan")
     furniture: frozenset[str] = frozenset()
+    sure: float = float("inf")
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """For each text, how much speaks for RESIDUE and for NOTICE (positive: it is one)."""
@@ -168,6 +179,9 @@ def fit(texts: list[str], labels: np.ndarray, hosts: np.ndarray, how: Fit = Fit(
         s = model.scores([t for t, u in zip(texts, unseen) if u])
         said = np.where(s.max(axis=1) > 0, s.argmax(axis=1) + 1, 0)
         model.held_out = float((said == labels[unseen]).mean())
+        proper = s[labels[unseen] == PROPER, 0]
+        if len(proper):
+            model.sure = max(how.sure_least, float(np.quantile(proper, how.sure_share, method="higher")))
     return model
 
 
@@ -236,6 +250,8 @@ def judged(pages: list[tuple[list[str], list[bool], str]], model: Linear, how: F
     scores = model.scores(flat)
     possible = scores.max(axis=1, initial=-np.inf) > POSSIBLE
     possible |= np.array([SUSPECT.search(x) is not None for x in flat], bool)
+    # Listed phrases count however the sentence scores.
+    possible |= np.array([any(w in x for w in FILLER_WORDS) for x in map(str.lower, flat)], bool)
     out: list[str | None] = []
     at = 0
     for said, heads, hidden in pages:
@@ -246,7 +262,7 @@ def judged(pages: list[tuple[list[str], list[bool], str]], model: Linear, how: F
         for i in np.nonzero(near)[0]:
             x, (r, n) = said[i], s[i]
             marked = weak_label(x)
-            if marked == RESIDUE or (r > 0 and marked == PROPER and (PLACEHOLDER.search(x) or _repeats(x)) and not EXPLAINED.search(x)):
+            if marked == RESIDUE or (marked == PROPER and (r > model.sure or (r > 0 and _repeats(x))) and not EXPLAINED.search(x)):
                 kind = "residue"
                 break
             if marked == NOTICE or (n > NOTICED and not heads[i] and DIGITS.sub("0", x) not in model.furniture and not EXPLAINED.search(x)):

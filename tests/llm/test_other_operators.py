@@ -201,6 +201,27 @@ def test_residue_kinds(spark):
     assert residue.residue_pages(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_filler_without_a_phrase_is_found_by_its_score():
+    latin = "velora quandor sepina tremor cundor mentum simet noctes arvana gravor".split()
+    plain = "the cache keeps every entry until its lease ends and then drops them all".split()
+    rng = np.random.default_rng(5)
+    filler = [" ".join(rng.choice(latin, 12)) for _ in range(60)]
+    proper = [" ".join(rng.choice(plain, 12)) for _ in range(200)]
+    labels = np.array([residue.RESIDUE] * 60 + [residue.PROPER] * 200)
+    model = residue.fit(filler + proper, labels, np.arange(260))
+    fresh, other = " ".join(rng.permutation(latin)), " ".join(rng.permutation(plain))
+    assert residue.weak_label(fresh) == residue.PROPER and not residue._repeats(fresh)
+    said = [([other, fresh], [False] * 2, ""), ([other], [False], ""), ([other, "For example " + fresh], [False] * 2, "")]
+    assert residue.judged(said, model) == ["residue", None, None]
+    assert residue.judged(said, residue.Linear(model.weights, model.bias)) == [None] * 3
+
+
+def test_listed_filler_counts_at_any_score():
+    sure_of_none = residue.Linear(np.zeros((residue.BUCKETS + 10, 2), np.float32), np.full(2, -9.0, np.float32))
+    listed = ["Coming soon.", "Texte à venir", "Insert body copy here", "Placeholder text", "Texto de relleno", "TODO: write", "Dummy content"]
+    assert residue.judged([([x], [False], "") for x in listed], sure_of_none) == ["residue"] * len(listed)
+
+
 SECTION = "page_id long, source_id string, document_url string, section_id int, blocks array<struct<kind:string,text:string,links:int,extra:int>>, shard int, marks int"
 
 
