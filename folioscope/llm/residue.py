@@ -35,7 +35,7 @@ BUCKETS = 1 << 17
 GRAMS = (4, 8)
 PROPER, RESIDUE, NOTICE = 0, 1, 2
 SPLIT = re.compile(r"(?<=[.!?])\s+(?=\S)|\n+|\t+")
-DIGITS = re.compile(r"\d+")
+DIGITS = re.compile(r"[0-9]+")
 #: Sentences that the classifier finds less likely than this are not looked at again.
 POSSIBLE = -2.0
 #: Without a known phrase, a notice must be this likely.
@@ -61,6 +61,8 @@ class Fit:
     other_words: int = 6
     share_of_words: float = 0.15
     furniture_pages: int = 4
+    furniture_share: float = 4 / 3_000
+    host_share: float = 0.01
     sure_share: float = 0.999
     sure_least: float = 1.0
 
@@ -189,25 +191,41 @@ def _bodies(batch: pa.RecordBatch, at: int) -> list[list[Container]]:
     return [containers(decoded(b)) if b else [] for b in batch.column(at).to_pylist()]
 
 
-def labelled(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
+BODIES = "page_id long, host string, failed boolean, said array<string>, heads array<boolean>, hidden string"
+
+
+def read_bodies(pages: DataFrame) -> DataFrame:
+    """page_id, host, failed and the sentences of every fetched page and failed response, staged; each is parsed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said, heads, hidden = list(zip(*map(sentences, _bodies(batch, 3)))) or [(), (), ()]
+            said = [[x.encode("utf-8", "replace").decode() for x in page] for page in said]
+            cols = [pa.array(said, pa.list_(pa.string())), pa.array(heads, pa.list_(pa.bool_())), pa.array(hidden, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=["page_id", "host", "failed", "said", "heads", "hidden"])
+
+    rows = pages.where("page_id is not null and length(raw_body) > 0 and state in ('Fetched', 'HttpFailure')")
+    rows = rows.select("page_id", F.col("source_id").alias("host"), (F.col("state") != "Fetched").alias("failed"), "raw_body")
+    return stage(rows.mapInArrow(run, BODIES), "bodies")
+
+
+def labelled(bodies: DataFrame, how: Fit = Fit()) -> DataFrame:
     """sentence, label, host (a hash) from at most sample_pages fetched pages and as many failed responses.
 
     What stands in a failed response is a notice; of the others the phrases tell.
     """
-    rows = pages.where("page_id is not null and length(raw_body) > 0 and state in ('Fetched', 'HttpFailure')")
-    rows = rows.withColumn("failed", F.col("state") != "Fetched").withColumn("turn", F.xxhash64("page_id", F.lit(3)))
+    rows = bodies.withColumn("turn", F.xxhash64("page_id", F.lit(3)))
     # Only the numbers of the pages in the sample come to the driver; their bodies stay where they are.
     last = [
         rows.where(kind).select("turn").orderBy("turn").limit(how.sample_pages).agg(F.max("turn")).first()[0] for kind in ("not failed", "failed")
     ]
     low = [F.lit(-(1 << 63) if x is None else x) for x in last]
-    taken = rows.where(F.col("turn") <= F.when(F.col("failed"), low[1]).otherwise(low[0])).select("raw_body", "source_id", "status", "failed", "turn")
+    taken = rows.where(F.col("turn") <= F.when(F.col("failed"), low[1]).otherwise(low[0])).select("said", "heads", "failed", "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[str, int, int]] = []
-            for found, failed, host in zip(_bodies(batch, 0), batch.column(3).to_pylist(), batch.column(1).to_pylist()):
-                said, heads, _ = sentences(found)
+            for said, heads, failed, host in zip(*(c.to_pylist() for c in batch.columns)):
                 short = sum(len(x.split()) for x, h in zip(said, heads) if not h) < 60
                 place = sum(map(ord, host or ""))
                 for x, h in zip(said, heads):
@@ -223,8 +241,28 @@ def labelled(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
     return taken.mapInArrow(run, "sentence string, label int, host int")
 
 
-def trained(pages: DataFrame, how: Fit = Fit()) -> Linear:
-    rows = stage(labelled(pages, how).groupBy("sentence", "label", "host").agg(F.count("*").alias("n")), "labelled")
+def furniture(bodies: DataFrame, how: Fit = Fit()) -> frozenset[str]:
+    """The short sentences, their numbers alike, that no phrase labels and that stand on enough of all fetched pages
+    or of those of one host: furniture_pages at least, and furniture_share or host_share of them.
+
+    Counted by distinct page over every page. For each host, at most (sentences of a page) / host_share come to the driver.
+    """
+    fetched = bodies.where("not failed")
+    sizes = fetched.groupBy("host").agg(F.countDistinct("page_id").alias("of_pages"))
+    total = sizes.agg(F.sum("of_pages")).first()[0] or 0
+    said = fetched.select("page_id", "host", F.explode("said").alias("said")).where("length(said) < 200")
+    said = said.select("page_id", "host", F.regexp_replace("said", r"[0-9]+", "0").alias("said")).withColumn("h", F.xxhash64("said"))
+    counted = said.select("page_id", "host", "h").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+    counted = stage(counted, "counted")
+    own = counted.join(F.broadcast(sizes), counted["host"].eqNullSafe(sizes["host"])).where(F.col("n") >= F.greatest(F.lit(how.furniture_pages), how.host_share * F.col("of_pages")))
+    shared = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(how.furniture_pages, how.furniture_share * total))
+    often = own.select("h").unionByName(shared.select("h")).distinct()
+    found = said.join(often, "h", "left_semi").groupBy("h").agg(F.min("said").alias("said")).select("said").toArrow().column(0).to_pylist()
+    return frozenset(x for x in found if weak_label(x) == PROPER)
+
+
+def trained(bodies: DataFrame, how: Fit = Fit()) -> Linear:
+    rows = stage(labelled(bodies, how).distinct(), "labelled")
     # All parts are bounded by the sample and by the numbers of sentences kept here.
     turn = F.xxhash64("sentence", "host")
     kept = rows.where("label > 0").orderBy(turn).limit(how.proper_sentences)
@@ -232,9 +270,7 @@ def trained(pages: DataFrame, how: Fit = Fit()) -> Linear:
     texts, labels, hosts = kept.column(0).to_pylist(), kept.column(1).to_numpy(), kept.column(2).to_numpy()
     sure = ~disputed(texts, labels)
     model = fit([t for t, s in zip(texts, sure) if s], labels[sure], hosts[sure], how)
-    alike = rows.where("label = 0 and length(sentence) < 200").groupBy(F.regexp_replace("sentence", r"\d+", "0").alias("said"))
-    often = alike.agg(F.sum("n").alias("n")).where(F.col("n") >= how.furniture_pages).select("said").toArrow().column(0).to_pylist()
-    model.furniture = frozenset(often)
+    model.furniture = furniture(bodies, how)
     return model
 
 
@@ -287,16 +323,16 @@ def _repeats(sentence: str) -> bool:
 
 def residue_pages(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
     """page_id, kind (residue or notice) of the pages to be kept out of the index."""
-    model = pages.sparkSession.sparkContext.broadcast(trained(pages, how))
+    bodies = read_bodies(pages)
+    model = pages.sparkSession.sparkContext.broadcast(trained(bodies, how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = judged([sentences(f) for f in _bodies(batch, 1)], model.value, how)
+            kinds = judged(list(zip(*(c.to_pylist() for c in batch.columns[1:]))), model.value, how)
             at = pa.array([i for i, k in enumerate(kinds) if k], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), pa.array([k for k in kinds if k], pa.string())], names=["page_id", "kind"]
             )
 
-    rows = pages.where("state = 'Fetched' and page_id is not null and length(raw_body) > 0").select("page_id", "raw_body")
-    found = rows.mapInArrow(run, "page_id long, kind string")
+    found = bodies.where("not failed").select("page_id", "said", "heads", "hidden").mapInArrow(run, "page_id long, kind string")
     return found.groupBy("page_id").agg(F.max("kind").alias("kind"))

@@ -222,6 +222,16 @@ def test_listed_filler_counts_at_any_score():
     assert residue.judged([([x], [False], "") for x in listed], sure_of_none) == ["residue"] * len(listed)
 
 
+def test_furniture_is_counted_on_all_pages_by_page(spark):
+    own = "<p>Page {i} tells of {w} in the words that nobody else has.</p>"
+    rows = [(i, f"big{i % 3}", site(own.format(i=i, w=chr(97 + i % 26) * (2 + i // 26))).encode(), "Fetched", 200, "", 1, 1) for i in range(200)]
+    rows += [(1000 + i, "small", site(f"<p>Helped {i} readers of the small host.</p>").encode(), "Fetched", 200, "", 1, 1) for i in range(5)]
+    rows += [(2000, "big1", site("<p>Said many times.</p>" * 9).encode(), "Fetched", 200, "", 1, 1)]
+    bodies = residue.read_bodies(spark.createDataFrame(rows + rows[:1] * 6, PAGE))
+    how = residue.Fit(sample_pages=3)
+    assert residue.trained(bodies, how).furniture == {"Helped 0 readers of the small host."}
+
+
 SECTION = "page_id long, source_id string, document_url string, section_id int, blocks array<struct<kind:string,text:string,links:int,extra:int>>, shard int, marks int"
 
 
