@@ -162,6 +162,41 @@ def recrawl_change_kinds(spark, folder):
     return fresh.join(old, ["source_id", "document_url"], "left").select("source_id", "document_url", history.change_kind().alias("change_kind"))
 
 
+@query(
+    "recrawl_change_kinds_all",
+    """with s as (select snapshot_no, source_id, regexp_replace(document_url, '#.*$', '') as document_url, normalized_sha256, raw_sha256, availability,
+      row_number() over (partition by snapshot_no, source_id, regexp_replace(document_url, '#.*$', '')
+        order by stored_at desc nulls last, coalesce(normalized_sha256, '') desc, coalesce(raw_sha256, '') desc, coalesce(availability, '') desc) as n from document_snapshot),
+    one as (select * from s where n = 1),
+    p as (select snapshot_no, lag(snapshot_no) over (order by snapshot_no) as old_no from (select distinct snapshot_no from document_snapshot) d)
+    select f.snapshot_no, f.source_id, f.document_url, case
+      when coalesce(f.availability, 'active') = 'removed' then case when o.raw_sha256 is not null or o.normalized_sha256 is not null then 'removed' else 'rejected' end
+      when (o.raw_sha256 is not null or o.normalized_sha256 is not null) and coalesce(o.availability, 'active') <> 'removed' and f.raw_sha256 = o.raw_sha256 then 'raw_unchanged'
+      when (o.raw_sha256 is not null or o.normalized_sha256 is not null) and coalesce(o.availability, 'active') <> 'removed' and f.normalized_sha256 = o.normalized_sha256 then 'normalized_unchanged'
+      when o.raw_sha256 is null and o.normalized_sha256 is null then 'added'
+      when f.normalized_sha256 = o.normalized_sha256 then 'reprocessed' else 'changed' end as change_kind
+    from one f join p on p.snapshot_no = f.snapshot_no and p.old_no is not null
+    left join one o on o.snapshot_no = p.old_no and o.source_id = f.source_id and o.document_url = f.document_url""",
+)
+def recrawl_change_kinds_all(spark, folder):
+    """Every snapshot as a recrawl of the one before it; recrawl_change_kinds is its second snapshot alone."""
+    rows = table(spark, folder, "document_snapshot").withColumn("document_url", without_fragment(F.col("document_url")))
+    order = Window.partitionBy("snapshot_no", "source_id", "document_url").orderBy(
+        F.desc_nulls_last("stored_at"), *[F.desc(F.coalesce(c, F.lit(""))) for c in ("normalized_sha256", "raw_sha256", "availability")]
+    )
+    states = rows.withColumn("n", F.row_number().over(order)).where("n = 1")
+    numbers = rows.select("snapshot_no").distinct()
+    pairs = numbers.withColumn("old_no", F.lag("snapshot_no").over(Window.orderBy("snapshot_no"))).where("old_no is not null")
+    gone = F.coalesce("availability", F.lit("active")) == "removed"
+    fresh = states.join(F.broadcast(pairs), "snapshot_no").select(
+        "snapshot_no", "old_no", "source_id", "document_url", "raw_sha256", "normalized_sha256", F.col("document_url").alias("requested_url"), F.col("document_url").alias("final_url"),
+        F.when(gone, 410).otherwise(200).alias("status"), F.when(gone, "HttpFailure").otherwise("Fetched").alias("state"), F.lit(True).alias("compatible"),
+    )
+    old = states.select(F.col("snapshot_no").alias("old_no"), "source_id", "document_url", *[F.col(c).alias(f"old_{c}") for c in ("raw_sha256", "normalized_sha256", "availability")])
+    found = fresh.join(old, ["old_no", "source_id", "document_url"], "left")
+    return found.select("snapshot_no", "source_id", "document_url", history.change_kind().alias("change_kind"))
+
+
 REV_SQL = """
 with s as (select source_id, regexp_replace(document_url, '#.*$', '') as document_url, normalized_sha256, stored_at from document_snapshot where normalized_sha256 is not null),
 first as (select source_id, document_url, normalized_sha256, min(stored_at) as first_stored from s group by source_id, document_url, normalized_sha256),
