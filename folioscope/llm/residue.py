@@ -1,7 +1,7 @@
 """Pages that carry template residue, filler, or an error message in place of documentation.
 
-Each sentence of a page's main body is judged by a regularised linear classifier over hashed byte n-grams,
-its length, and whether the page's title holds it. The labels it learns from are weak: phrases, and the
+Each sentence of a page's main body is judged by a regularised linear classifier over hashed byte n-grams
+and its length; the page's title is not read. The labels it learns from are weak: phrases, and the
 response status (the sentences of failed responses are messages). Some hosts are left out of the training and
 show how well it does on hosts it has not seen.
 
