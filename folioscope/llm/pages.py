@@ -1,6 +1,8 @@
-"""Reading a page's HTML as containers of text blocks, in one pass and without a tree.
+"""Reading a page's HTML as text blocks and the elements they stand in, in one pass and without a tree.
 
-A container is an element directly below the body, or a cell of a table that lays out the whole page.
+A slot is an element that holds text: the path of the elements around a block, each with its attributes, from
+the body down (a cell of a table that lays out the whole page counts as an element). Pages that one template
+made share their slots. Nothing here knows what any attribute value means, save those that mark a note.
 """
 
 from __future__ import annotations
@@ -11,37 +13,35 @@ from dataclasses import dataclass, field
 
 TOKEN = re.compile(
     r"<(?:(/?)(div|section|aside|nav|header|footer|main|article|table|td|th|tr|ul|ol|li|p|h[1-6]|pre|blockquote|strong|form|dl|dt|dd)\b([^>]*)"
-    r"|(script|style|noscript|template|head|svg)\b[^>]*>(.*?)</\4\s*|(!--).*?--|(br)\s*/?|(a)\b[^>]*|/?[a-zA-Z][^>]*|![^>]*|\?[^>]*)>",
+    r"|(script|style|noscript|template|head|svg)\b[^>]*>(.*?)</\4\s*|(!--).*?--|(br)\s*/?|(/?a)\b[^>]*|/?[a-zA-Z][^>]*|![^>]*|\?[^>]*)>",
     re.S | re.I,
 )
 BOXES = frozenset(("div", "section", "aside", "nav", "header", "footer", "main", "article", "td", "th", "form", "blockquote"))
-ENDS = frozenset(("p", "ul", "ol", "table", "pre", "dl"))
 SPACE = re.compile(r"\s+")
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:\-]+)", re.I)
+TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 
-#: What an element says about itself.
-MAIN = re.compile(r"^(?:article|main)\b|role=\"main\"|id=\"(?:content|main)\"|class=\"(?:content|main)\"|width=\"70%\"")
-ASIDE = re.compile(
-    r"^(?:nav|header|footer|aside)\b|role=\"(?:navigation|banner|contentinfo|complementary|dialog)\"|aria-label=\"consent\""
-    r"|id=\"(?:menu|right|bottom|consent|nav|sidebar|footer)\"|class=\"(?:top|rail|sidebar|cookie-banner|footer|menu)\""
-)
+#: The usual class names of a note.
 NOTE = re.compile(r"class=\"[^\"]*\b(?:note|tip|warning|caution|danger|info|important|hint|admonition)\b")
 
 
 @dataclass(slots=True)
 class Block:
-    """kind: paragraph, list, table, code, note or heading; plain: whether its element has no class or id."""
+    """kind: paragraph, list, table, code, note or heading; loose: how many of its words are in no link."""
 
     kind: str
     text: str
     links: int
-    plain: bool
+    loose: int
     level: int = 0
 
 
 @dataclass(slots=True)
 class Container:
-    sign: str
+    """Blocks that follow each other in one element: its slot, its number on the page and those of the elements around it."""
+
+    slot: str
+    inside: tuple[int, ...] = ()
     blocks: list[Block] = field(default_factory=list)
     noscript: list[str] = field(default_factory=list)
 
@@ -51,7 +51,7 @@ def decoded(body: bytes, declared: str | None = None) -> str:
     try:
         return body.decode("utf-8")
     except UnicodeDecodeError:
-        found = CHARSET.search(body[:2048])
+        found = CHARSET.search(body)
         for name in (found.group(1).decode("ascii") if found else None, declared, "cp1252"):
             if name and name.lower() not in ("utf-8", "utf8"):
                 try:
@@ -65,20 +65,26 @@ def _plain(text: str) -> str:
     return SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
 
 
+def title_of(page: str) -> str:
+    found = TITLE.search(page)
+    return _plain(found.group(1)) if found else ""
+
+
 def containers(page: str) -> list[Container]:
-    """The page's containers in order; text outside of any is a container of its own without a sign."""
+    """The page's text in order, cut wherever an element begins or ends that may hold text of its own."""
     out: list[Container] = []
     here = Container("")
-    boxes: list[tuple[str, bool]] = []
+    boxes: list[tuple[str, str, tuple[int, ...]]] = []
+    opened = 0
     layout = 0
     at = 0
     text: list[str] = []
     items: list[str] = []
     cells: list[list[str]] = []
-    kind, depth, links, plain, level, attrs = "", 0, 0, True, 0, ""
+    kind, depth, links, linked, inside, level, attrs = "", 0, 0, 0, False, 0, ""
 
     def flush() -> None:
-        nonlocal kind, links, text, items, cells, depth
+        nonlocal kind, links, linked, inside, text, items, cells, depth
         if kind == "list":
             items.append(_plain("".join(text)))
             said = "\n".join(x for x in items if x)
@@ -91,18 +97,21 @@ def containers(page: str) -> list[Container]:
             said = _plain("".join(text))
         if said:
             own = kind or ("note" if boxes and NOTE.search(attrs) else "paragraph")
-            here.blocks.append(Block(own, said, links, plain, level))
-        kind, links, text, items, cells, depth = "", 0, [], [], [], 0
+            here.blocks.append(Block(own, said, links, max(0, len(said.split()) - linked), level))
+        kind, links, linked, inside, text, items, cells, depth = "", 0, 0, False, [], [], [], 0
 
-    def open_box(sign: str) -> None:
+    def go_on() -> None:
         nonlocal here
-        if here.blocks or here.noscript or here.sign:
+        if here.blocks or here.noscript:
             out.append(here)
-        here = Container(sign)
+        here = Container(*boxes[-1][1:]) if boxes else Container("")
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            text.append(page[at : m.start()])
+            piece = page[at : m.start()]
+            text.append(piece)
+            if inside:
+                linked += len(piece.split())
         at = m.end()
         tag = m.group(2)
         if tag is None:
@@ -113,7 +122,8 @@ def containers(page: str) -> list[Container]:
             elif m.group(7):
                 text.append("\n" if kind == "code" else " ")
             elif m.group(8):
-                links += 1
+                inside = m.group(8)[0] != "/"
+                links += inside
             continue
         tag, closing = tag.lower(), m.group(1)
         if kind == "code":
@@ -154,36 +164,33 @@ def containers(page: str) -> list[Container]:
             continue
         flush()
         if tag in BOXES:
-            attrs = m.group(3).replace("'", '"')
             if closing:
-                while boxes and boxes[-1][0] != tag and len(boxes) > 1:
-                    boxes.pop()
-                if boxes and boxes.pop()[1]:
-                    open_box("")
                 attrs = ""
-                plain = True
+                while boxes and boxes[-1][0] != tag and any(b[0] == tag for b in boxes):
+                    boxes.pop()
+                if boxes and boxes[-1][0] == tag:
+                    boxes.pop()
             else:
-                top = not boxes
-                boxes.append((tag, top))
-                if top:
-                    open_box(tag + attrs)
-                plain = top or not attrs.strip()
+                attrs = SPACE.sub(" ", m.group(3)).replace("'", '"').strip()
+                opened += 1
+                around, path = (boxes[-1][2], boxes[-1][1]) if boxes else ((), "")
+                boxes.append((tag, f"{path}/{tag} {attrs}".rstrip(), (*around, opened)))
+            go_on()
         elif tag in ("p", "dt", "dd"):
-            plain = not m.group(3).strip()
             kind = "" if closing else "paragraph"
         elif tag in ("ul", "ol"):
             if not closing:
-                kind, depth, plain = "list", 1, not m.group(3).strip()
+                kind, depth = "list", 1
         elif tag == "pre":
             if not closing:
-                kind, plain = "code", True
+                kind = "code"
         elif tag == "table":
             if closing:
                 layout = max(0, layout - 1)
             elif not boxes:
                 layout += 1
             else:
-                kind, depth, plain = "table", 1, True
+                kind, depth = "table", 1
         elif tag[0] == "h" and len(tag) == 2:
             if not closing:
                 kind, level = "heading", int(tag[1])
@@ -192,26 +199,5 @@ def containers(page: str) -> list[Container]:
     if at < len(page):
         text.append(re.sub(r"<[^>]*$", "", page[at:]))
     flush()
-    if here.blocks or here.noscript or here.sign:
-        out.append(here)
+    go_on()
     return out
-
-
-#: Words of consent, legal and navigation texts, which count against a container that doesn't tell what it is.
-OUTSIDE = re.compile(r"cookie|consent|©|all rights reserved|privacy|imprint|terms of use|trackers|registered (?:mark|under)|partners process|provided for information|collective\. hosting|built from commit", re.I)
-
-
-def main_container(found: list[Container]) -> int | None:
-    """The number of the container that holds the page's own article, or None."""
-    best, best_score = None, 0.0
-    for i, c in enumerate(found):
-        if not c.sign:
-            continue
-        score = 1000.0 * bool(MAIN.search(c.sign)) - 1000.0 * bool(ASIDE.search(c.sign))
-        score += 500.0 * any(b.kind == "heading" and b.level == 1 for b in c.blocks)
-        score += 50.0 * bool(c.noscript) - 100.0 * any(OUTSIDE.search(b.text) for b in c.blocks if b.kind == "paragraph")
-        said = [b for b in c.blocks if b.kind != "heading" and not (b.links and b.kind == "list") and b.links < 2]
-        score += min(300, sum(len(b.text.split()) for b in said))
-        if score > best_score:
-            best, best_score = i, score
-    return best

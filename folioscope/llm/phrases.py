@@ -1,51 +1,35 @@
-"""Phrases that label texts weakly: unfilled placeholders, filler, and messages in place of a page.
+"""Phrases that label texts weakly, to train on; nothing is found by them.
 
-These are fixed values: what such texts say in the languages of the corpus.
+These are fixed values: the usual syntaxes of template marks, and what filler, error pages and their
+explanations commonly say.
 """
 
 from __future__ import annotations
 
 import re
 
-#: Marks that a template engine should have replaced, in the usual syntaxes.
+#: Marks that a template engine should have replaced.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,60}(?:\}\}|$|(?=[,.\s]))|[A-Za-z_.]{2,30} \}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|\{%[^%\n]{1,60}%\}|\{[#/][a-z][^{}\n]{0,40}\}"
+    r"\{\{[^{}\n]{0,60}(?:\}\}|$|(?=[,.!\s]))|[A-Za-z_.]{2,30} \}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|\{%[^%\n]{1,60}%\}|\{[#/][a-z][^{}\n]{0,40}\}"
     r"|<%=?[^%\n]{1,60}%>|<\?(?:php|=)[^?\n]{0,80}\?>|<<[A-Za-z_. ]{2,40}>>|%%[A-Za-z_]{2,40}%%|&&[A-Z_]{2,40}&&|@@[A-Za-z_]{2,40}@@"
     r"|\b__[A-Z][A-Z_]{2,40}__|\$[A-Z][A-Z_]{3,40}\$|%\([a-z_]{2,40}\)[sdr]|\[\[[A-Z][A-Z _]{2,60}\]\]|\[[A-Z][A-Z ]{4,50}(?:HERE)?\]"
     r"|\[your [a-z ]{2,40}\]|\[object Object\]|\bMERGEFIELD_\w+|(?<![\w`])\{\d\}(?!\w)"
 )
-#: A sentence that speaks of such a mark.
-EXPLAINED = re.compile(
-    r"\bthe (?:mark|placeholder|marker|variable|token|string|expression|tag) |^write |\binside (?:a|the) template|\bis replaced by\b|\bare replaced by\b"
-    r"|\bmark open points\b|\beditors use filler\b|\bpages that say\b|\bwhen a server answers\b|\bthe message .{0,60}\bmeans\b|\bserver error makes\b|\bfor example\b|\be\.g\.",
-    re.I,
-)
 FILLER = re.compile(
-    r"\blorem ipsum\b|\bdolor sit amet\b|\btodo: |^todo\b|^tbd\b|\btbd\. tbd\b|\basdf\b|\bxxx xxx\b|\bfill me in\b|\btext to follow\b|\bcoming soon\b|\bcheck back later\b"
-    r"|\bplaceholder (?:copy|text)\b|\bto be replaced before launch\b|\binsert (?:body )?(?:copy|text) here\b|\bdummy (?:content|text)\b|\bsample paragraph\b"
-    r"|\bdescribe the feature in this spot\b|\bask the writers\b|\bblindtext\b|\bsection title\b|\bheadline goes here\b|\bgoes here\b|\bclick to edit\b|\btell your visitors\b|\badd two or three sentences\b"
+    r"\blorem ipsum\b|\bdolor sit amet\b|^todo\b|\btodo:|^tbd\b|\basdf\b|\bxxx xxx\b|\bfill me in\b|\btext to follow\b|\bcoming soon\b|\bcheck back later\b"
+    r"|\b(?:placeholder|dummy|sample|filler) (?:copy|text|content|paragraph)\b|\binsert .{0,20}\bhere\b|\bgoes here\b|\bclick to edit\b|\bblindtext\b"
     r"|\btexte? (?:de remplissage|à venir|provisoire)\b|\btexto (?:de relleno|de prueba|provisional|de preenchimento)\b|\btekst zastępczy\b|\bplatzhalter",
     re.I,
 )
-#: One of these stands in every text that FILLER matches, in lower case.
-FILLER_WORDS = (
-    "lorem ipsum", "dolor sit amet", "todo", "tbd", "asdf", "xxx xxx", "fill me in", "text to follow", "coming soon", "check back later", "placeholder ",
-    "to be replaced before launch", "insert ", "dummy ", "sample paragraph", "describe the feature in this spot", "ask the writers", "blindtext", "section title",
-    "goes here", "click to edit", "tell your visitors", "add two or three sentences", "de remplissage", "à venir", "provisoire", "texto ", "tekst zastępczy", "platzhalter",
-)
 MESSAGE = re.compile(
-    r"\bjava ?script\b|\bscripts? (?:are|is) (?:switched|turned|disabled|required|blocked)|\bneeds? scripts?\b|\bscripting disabled\b|\bsingle-page app\b|\bturn them on and reload\b"
-    r"|\bno ejecuta scripts\b|\bbloque les scripts\b|\bactivez-les\b|\bactívelos\b|\bsem scripts\b|\bskrypt|\bскрипт"
-    r"|\b(?:40[0-9]|41[0-9]|429|50[0-9])\b.{0,4}(?:-|:|\b)\s*(?:page not|page cannot|not |bad |internal |service |gateway |forbidden|gone|error|unauthor|too )|\bpage (?:you asked for|not found|cannot be found)"
-    r"|\bnot found\b|\bdoes not exist or has been moved\b|\bnothing lives at this address\b|\bcheck the spelling\b|\bnicht gefunden\b|\bexistiert nicht\b|\bya no está disponible\b|\bintrouvable\b|\bno encontrada\b|\bnão encontrada\b|\bnie znaleziono\b|\bне найдена\b"
-    r"|\binternal server error\b|\berreur (?:interne|est survenue)\b|\bune erreur\b|\bsomething went wrong\b|\bour side\b|\bteam has been told\b|\bunexpected condition\b|\bcorrelation id\b|\bunhandled exception\b|\bdatabasetimeout\b|\bcould not obtain a connection\b"
-    r"|\bbad gateway\b|\bupstream host did not answer\b|\btry again in a few minutes\b|\bservice unavailable\b|\bdown for maintenance\b|\bwill be back shortly\b|\bwartung|\bmaintenance\b|\bmantenimiento\b|\bmanutenção\b"
-    r"|\baccess denied\b|\bpermission to open\b|\breference code\b|\brequest blocked\b|\bfirewall of this site\b|\bincident \d|\btoo many requests\b|\bwait a moment and reload\b"
-    r"|\bsign in to continue\b|\bsession has expired\b|\blog in again\b|\bone more step\b|\bconnection is secure\b|\btakes a few seconds\b|\boops\b|\bdidn['’]t work\b|\bgo back to the start page\b"
-    r"|\bgone\. this version\b|\bhas been withdrawn\b|\bno replacement was named\b|\bnothing can be shown\b|\bunfortunately\b|\bsorry\b|^just a moment\b|\blooked everywhere\b|\bnot available in your (?:region|country)\b|\bthis is a mistake\b|\bcontact support\b"
-    r"|\ballow scripts\b|\breader cannot start\b|^loading(?:\W*$| the )|^gone\.?$|^error\.?$",
+    r"\b(?:enable|requires?|activate|activer|aktivieren|activ\w+) (?:sie )?java ?script\b|\bjava ?script is (?:required|disabled)|\bscripts? (?:are|is) (?:switched|turned|disabled|required|blocked)|\bneeds? scripts\b"
+    r"|\b(?:page|seite|página|page) (?:was |is )?not found\b|\bnot found\.|\bintrouvable\b|\bnicht gefunden\b|\bno encontrada\b|\bdoes not exist\b|\binternal server error\.|\bbad gateway\b|\bgateway time-?out\b"
+    r"|\bservice unavailable\b|\bdown for maintenance\b|\baccess denied\b|\byou do not have permission\b|\brequest (?:was )?blocked\b|\btoo many requests\b|\bsign in to continue\b|\bsession has expired\b"
+    r"|\bsomething went wrong\b|\bunhandled exception\b|\bunexpected (?:condition|error)\b|\bconnection is secure\b|\bnot available in your (?:region|country)\b",
+    re.I,
+)
+#: A sentence that speaks of such a mark, filler or message.
+EXPLAINED = re.compile(
+    r"\b(?:is|are) replaced by\b|\binside (?:a|the) template\b|\bfiller text to\b|\bpages that say\b|\ba server answers\b|\bthe message .{0,60}\bmeans\b|\berror makes\b|\bfor example\b|\be\.g\.",
     re.I,
 )
-#: What heads a list of links to neighbouring or related pages.
-LABEL = re.compile(r"^(?:previous|next|next up|up next|related|read also|see also|popular now|more like this|also read|vorherige|nächste|weiter|zurück|précédent|suivant|anterior|siguiente|próximo|poprzedni|następny|назад|далее)\s*:", re.I)
-ERROR_LINKS = frozenset(("start page", "site map", "report this", "home", "search", "contact", "go back", "try again"))

@@ -152,3 +152,8 @@ def p6_found(spark, folder):
 @query("p2_found")
 def p2_found(spark, folder):
     return residue.residue_pages(table(spark, folder, "page_outcome")).select("page_id")
+
+
+@query("p2_validation")
+def p2_validation(spark, folder):
+    return residue.validation(table(spark, folder, "page_outcome"))

@@ -1,101 +1,90 @@
 """Pages that carry template residue, filler, or an error message in place of documentation.
 
-Each sentence of a page's main body is judged by a regularised linear classifier over hashed byte n-grams
-and its length; the page's title is not read. The labels it learns from are weak: phrases, and the
-response status (the sentences of failed responses are messages). Some hosts are left out of the training and
-show how well it does on hosts it has not seen.
+Each sentence of a page's main body is judged by a regularised linear classifier over hashed byte n-grams, its
+length, what it has in common with the page's title, whether it is a heading, on how many hosts its block
+stands, how much else the body says, and the outcome of rendering. The labels it learns from are weak: phrases,
+and the response status (the sentences of failed responses are messages). Some hosts are left out of the training
+and show how well it does on hosts it has not seen. The classifier alone decides; phrases only label.
 
-A page is a case if its main body holds an unfilled placeholder or filler (by phrase, or by a score above a
-margin that hosts left out of the training set) outside of code and outside of
-a sentence that explains it, or if messages stand in its main body and hardly anything else does. Text in
-a noscript element counts only where the main body is empty.
+A page is a case if a sentence of its main body outside of code scores as residue, or if sentences that score as
+messages stand in its main body and hardly anything else does. The main body is the element that main_body.py
+chooses, without the blocks that many pages have (counted over all pages by distinct address). Text in a noscript
+element counts only where the main body is empty.
 
 Only pages with state `Fetched` are judged; empty and null bodies are no cases. Repeated rows of one
 page_id count once. Extra columns are ignored; an empty table gives no rows. Without any labelled sentence
-the phrases alone decide.
+there is nothing to learn from and no page is a case.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.main_body import _link_list
-from folioscope.llm.pages import Container, containers, decoded, main_container
-from folioscope.llm.phrases import EXPLAINED, FILLER, FILLER_WORDS, MESSAGE, PLACEHOLDER
-from folioscope.sources.staging import stage
+from folioscope.llm.main_body import DIGITS, HOST, TITLE, Furniture, _titled, frequent_runs, slot_weights
+from folioscope.llm.pages import containers, decoded, title_of
+from folioscope.llm.phrases import EXPLAINED, FILLER, MESSAGE, PLACEHOLDER
+from folioscope.sources.staging import small_or_shuffled, stage
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 GRAMS = (4, 8)
+#: Features beside the n-grams: length, heading, relation to the title, hosts of the block, rest of the body, rendering.
+SIDE = {"length": (0, 10), "heading": (10, 1), "title": (11, 4), "spread": (15, 1), "rest": (16, 10), "outcome": (26, 4)}
+N_SIDE = 30
+OUTCOMES = ("rendered", "failed")
 PROPER, RESIDUE, NOTICE = 0, 1, 2
+PIECE, STEP = 64, 32
 SPLIT = re.compile(r"(?<=[.!?])\s+(?=\S)|\n+|\t+")
-DIGITS = re.compile(r"[0-9]+")
-#: Sentences that the classifier finds less likely than this are not looked at again.
-POSSIBLE = -2.0
-#: Without a known phrase, a notice must be this likely.
-NOTICED = 0.5
-#: ... unless they hold a character of some template language.
-SUSPECT = re.compile(r"[{}%@&<\[$]|__|MERGE")
 
 
 @dataclass(frozen=True)
 class Fit:
-    """sample_pages: pages that labelled sentences are taken from, the first by hash, proper and failed alike.
+    """sample_pages: pages that labelled sentences are taken from, the first by hash, proper and failed alike;
+    sample_sentences: how many of each label are learnt from; planted: sentences that get a mark for the training.
 
-    sure_share: of the proper sentences of unseen hosts, those that score less than the margin for residue without
-    a phrase, which is sure_least at least.
+    other_words, share_of_words: how much may stand beside a message.
     """
 
-    sample_pages: int = 3_000
-    proper_sentences: int = 6_000
-    rounds: int = 40
-    rate: float = 0.6
+    sample_pages: int = 4_000
+    sample_sentences: int = 10_000
+    rounds: int = 80
+    rate: float = 0.9
     decay: float = 1e-5
     held_out: int = 5
+    planted: int = 3_000
+    seed: int = 5
     other_words: int = 6
     share_of_words: float = 0.15
-    furniture_pages: int = 4
-    furniture_share: float = 4 / 3_000
-    host_share: float = 0.01
-    sure_share: float = 0.999
-    sure_least: float = 1.0
-
-
-def sentences(found: list[Container]) -> tuple[list[str], list[bool], str]:
-    """The sentences of the main body with whether each stands in a heading, and the words for a noscript reader."""
-    main = main_container(found)
-    if main is None:
-        return [], [], " ".join(t for c in found for t in c.noscript)
-    said: list[str] = []
-    heads: list[bool] = []
-    for b in found[main].blocks:
-        if b.kind == "code" or (b.kind == "paragraph" and not b.plain) or _link_list(b.kind, b.text, b.links):
-            continue
-        for x in SPLIT.split(b.text):
-            if x:
-                said.append(x)
-                heads.append(b.kind == "heading")
-    return said, heads, " ".join(found[main].noscript)
+    furniture: Furniture = field(default_factory=Furniture)
 
 
 def weak_label(sentence: str) -> int:
-    explained = EXPLAINED.search(sentence)
-    if (PLACEHOLDER.search(sentence) or FILLER.search(sentence)) and not explained:
+    if EXPLAINED.search(sentence):
+        return PROPER
+    if PLACEHOLDER.search(sentence) or FILLER.search(sentence):
         return RESIDUE
-    return NOTICE if MESSAGE.search(sentence) and not explained and len(sentence) < 160 else PROPER
+    return NOTICE if MESSAGE.search(sentence) else PROPER
+
+
+def marked(sentence: str) -> tuple[int, int] | None:
+    """Where in the bytes of a sentence the phrase stands that labels it as residue."""
+    m = PLACEHOLDER.search(sentence) or FILLER.search(sentence)
+    return m and tuple(len(sentence[:i].encode("utf-8", "replace")) for i in m.span())
 
 
 _MIX = [np.uint32(x) for x in (0x01000193, 0x85EBCA6B, 0xC2B2AE35)]
 
 
-def _hashed(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Bytes of all texts, the hashes of the 4 and 8 bytes from each place, and where each text begins and ends.
+def _hashed(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The hashes of the 4 and 8 bytes from each place of all texts, and where each text begins and ends.
 
     Digits are alike. Each text stands between two marks, so its first and last words are known as such.
     """
@@ -108,111 +97,267 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray,
     two = wide[:-1] * _MIX[0] + wide[1:]
     four = two[:-2] * _MIX[1] + two[2:]
     eight = four[:-4] * _MIX[2] + four[4:]
-    hashes = [((h[: len(data)] ^ (h[: len(data)] >> np.uint32(15))) * _MIX[1] >> np.uint32(15)).astype(np.int32) for h in (four, eight)]
-    return data, hashes, np.concatenate([[0], ends[:-1] + 1]), ends
+    hashes = [((h[: len(data)] ^ (h[: len(data)] >> np.uint32(15))) * _MIX[1] >> np.uint32(12)).astype(np.int32) for h in (four, eight)]
+    return hashes, np.concatenate([[0], ends[:-1] + 1]), ends
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte 4-grams and 8-grams of each text and its length (in steps of a power of two), and where each text's begin."""
-    _, hashes, starts, ends = _hashed(texts)
-    grams = [
-        np.concatenate([*(h[a : max(a, e - n + 2)] for h, n in zip(hashes, GRAMS)), [BUCKETS + min(9, len(t).bit_length())]])
-        for t, a, e in zip(texts, starts, ends)
-    ]
-    sizes = np.array([len(g) for g in grams])
-    return np.concatenate(grams).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+def pieces(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text, first and last byte of each piece: PIECE bytes, STEP apart, so a mark in a long sentence fills one."""
+    n = np.maximum(1, -(-(ends - starts - PIECE) // STEP) + 1)
+    text = np.repeat(np.arange(len(starts)), n)
+    first = starts[text] + STEP * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
+    return text, first, np.minimum(first + PIECE, ends[text])
+
+
+def _stops(starts: np.ndarray, ends: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """For each length of n-grams, beyond which place none begins."""
+    return [np.maximum(starts + 1, np.minimum(last, ends - n + 2)) for n in GRAMS]
+
+
+def side_features(sentence: str, heading: bool, title: frozenset[str], spread: bool, rest: int, outcome: int) -> list[int]:
+    """The numbers of the features beside the n-grams that a sentence has."""
+    words = sentence.lower().split()
+    common = sum(w in title for w in words)
+    related = 0 if not title or not common else 1 if common * 2 <= len(words) else 2 if common < len(words) else 3
+    return [
+        SIDE["length"][0] + min(9, len(sentence).bit_length()), SIDE["title"][0] + related,
+        SIDE["rest"][0] + min(9, rest.bit_length()), SIDE["outcome"][0] + outcome,
+        *([SIDE["heading"][0]] if heading else []), *([SIDE["spread"][0]] if spread else []),
+    ]
+
+
+def _sides(rows: list[list[int]]) -> np.ndarray:
+    out = np.zeros((len(rows), N_SIDE), np.float32)
+    for i, r in enumerate(rows):
+        out[i, r] = 1
+    return out
 
 
 @dataclass
 class Linear:
-    """A weight for each bucket and kind of residue; held_out is its accuracy on sentences of unseen hosts.
-
-    A sentence that scores above sure for RESIDUE is one without any phrase.
-    """
+    """Weights of the n-grams and of the other features for each kind; held_out: its accuracy on sentences of unseen
+    hosts; found and wrong: shares of their labelled and of their proper sentences that it finds."""
 
     weights: np.ndarray
+    side: np.ndarray
     bias: np.ndarray
     held_out: float = float("nan")
-    furniture: frozenset[str] = frozenset()
-    sure: float = float("inf")
+    found: float = float("nan")
+    wrong: float = float("nan")
+    validated: int = 0
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """For each text, how much speaks for RESIDUE and for NOTICE (positive: it is one)."""
+    def scores(self, texts: list[str], sides: np.ndarray) -> np.ndarray:
+        """For each text, how much speaks for RESIDUE (in one of its pieces) and for NOTICE (in all of it); positive: it is one."""
         if not texts:
             return np.zeros((0, 2), np.float32)
-        _, hashes, starts, ends = _hashed(texts)
-        both = np.ascontiguousarray(self.weights).view(np.complex64)[:, 0]
-        total = both[BUCKETS + np.array([min(9, len(t).bit_length()) for t in texts])].astype(np.complex128)
-        count = np.ones(len(texts))
-        for h, n in zip(hashes, GRAMS):
-            run = np.concatenate([[0], np.cumsum(both[h].astype(np.complex128))])
-            stop = np.maximum(starts, ends - n + 2)
-            total += run[stop] - run[starts]
-            count += stop - starts
-        return np.stack([total.real, total.imag], axis=1) / np.sqrt(count)[:, None] + self.bias
-
-
-def fit(texts: list[str], labels: np.ndarray, hosts: np.ndarray, how: Fit = Fit()) -> Linear:
-    """Logistic regression with weight decay, every kind against the others; every held_out-th host is kept for validation."""
-    model = Linear(np.zeros((BUCKETS + 10, 2), np.float32), np.full(2, -2.0, np.float32))
+        hashes, starts, ends = _hashed(texts)
+        text, first, last = pieces(starts, ends)
+        out = np.zeros((len(texts), 2))
+        for k in (0, 1):
+            a, e, b = (first, ends[text], last) if k == 0 else (starts, ends, ends)
+            total, count = np.zeros(len(a)), np.zeros(len(a))
+            for h, stop in zip(hashes, _stops(a, e, b)):
+                run = np.concatenate([[0.0], np.cumsum(self.weights[h, k], dtype=np.float64)])
+                total += run[stop] - run[a]
+                count += stop - a
+            score = total / np.sqrt(count)
+            out[:, k] = np.maximum.reduceat(score, np.searchsorted(text, np.arange(len(texts)))) if k == 0 else score
+        return out + sides @ self.side + self.bias
+
+
+def _shares(part: np.ndarray) -> np.ndarray:
+    n = np.bincount(part, minlength=5)
+    return (np.array([0.35, 0.08, 0.2, 0.25, 0.12]) / np.maximum(1, n))[part].astype(np.float32) * len(part)
+
+
+def _learnt(hashes: list[np.ndarray], a: np.ndarray, e: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, spoken: np.ndarray, made: np.ndarray, how: Fit) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression with weight decay on the n-grams that begin in each range and on the other features."""
+    ids = np.concatenate([h[i:j] for i, *to in zip(a, *_stops(a, e, b)) for h, j in zip(hashes, to)])
+    counts = sum(stop - a for stop in _stops(a, e, b))
+    starts = np.cumsum(counts) - counts
+    norm, owner = np.sqrt(counts), np.repeat(np.arange(len(a)), counts)
+    y = y.astype(np.float32)
+    # Found and planted ones, what speaks of such texts, and other prose have fixed shares, however many there are of each.
+    part = np.where(y > 0, np.where(made, 1, 0), np.where(spoken, 2, 3))
+    weight = _shares(part)
+    w, v, bias = np.zeros(BUCKETS, np.float32), np.zeros(N_SIDE, np.float32), -0.5
+    seen, seen_v = np.full(BUCKETS, 1e-6, np.float32), np.full(N_SIDE, 1e-2, np.float32)
+    for n in range(how.rounds):
+        z = np.add.reduceat(w[ids], starts) / norm + x @ v + bias
+        if n == how.rounds // 2:
+            # From here on, prose that is hard to tell from the kind counts as a group of its own.
+            weight = _shares(np.where((part == 3) & (z > -1), 4, part))
+        off = (1 / (1 + np.exp(-z)) - y) * weight
+        g = np.bincount(ids, weights=(off / norm)[owner], minlength=BUCKETS).astype(np.float32) / len(y) + how.decay * w
+        gv = x.T @ off / len(y) + how.decay * v
+        seen += g * g
+        seen_v += gv * gv
+        w -= how.rate * g / np.sqrt(seen)
+        v -= 0.2 * how.rate * gv / np.sqrt(seen_v)
+        bias -= how.rate * float(off.mean())
+    return w, v, bias
+
+
+def fit(texts: list[str], sides: np.ndarray, labels: np.ndarray, hosts: np.ndarray, how: Fit = Fit(), planted_from: int | None = None) -> Linear:
+    """Each kind against the others; every held_out-th host is kept for validation. Texts from planted_from on were made."""
+    model = Linear(np.zeros((BUCKETS, 2), np.float32), np.zeros((N_SIDE, 2), np.float32), np.full(2, -2.0, np.float32))
     if not len(texts) or not (labels > 0).any():
         return model
     unseen = hosts % how.held_out == 0
-    if unseen.all():
-        unseen[:] = False
-    learn = [t for t, u in zip(texts, unseen) if not u]
-    grams, starts = features(learn)
-    counts = np.diff(np.append(starts, len(grams)))
-    norm = np.sqrt(counts)
-    owner = np.repeat(np.arange(len(learn)), counts)
-    for k in (0, 1):
-        y = (labels[~unseen] == k + 1).astype(np.float32)
-        weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())).astype(np.float32) * len(y)
-        w, b, seen = np.zeros(BUCKETS + 10, np.float32), 0.0, np.full(BUCKETS + 10, 1e-6, np.float32)
-        for _ in range(how.rounds):
-            z = np.add.reduceat(w[grams], starts) / norm + b
-            off = (1 / (1 + np.exp(-z)) - y) * weight
-            g = np.bincount(grams, weights=(off / norm)[owner], minlength=len(w)).astype(np.float32) / len(y) + how.decay * w
-            seen += g * g
-            w -= how.rate * g / np.sqrt(seen)
-            b -= how.rate * float(off.mean())
-        model.weights[:, k], model.bias[k] = w, b
+    if unseen.all() or not (labels[~unseen] > 0).any():
+        unseen = np.zeros(len(texts), bool)
+    learn, x, kinds = [t for t, u in zip(texts, unseen) if not u], sides[~unseen], labels[~unseen]
+    made = np.nonzero(~unseen)[0] >= (len(texts) if planted_from is None else planted_from)
+    spoken = np.array([EXPLAINED.search(t) is not None for t in learn], bool)
+    hashes, starts, ends = _hashed(learn)
+    if (kinds == RESIDUE).any():
+        text, first, last = pieces(starts, ends)
+        span = [marked(t) if k == RESIDUE else None for t, k in zip(learn, kinds)]
+        # Of a sentence with a mark in it, the pieces that hold most of the mark.
+        use = np.array([(m := span[t]) is None or min(b, starts[t] + 1 + m[1]) - max(a, starts[t] + m[0]) >= 0.6 * min(PIECE, m[1] - m[0]) for t, a, b in zip(text, first, last)], bool)
+        text, first, last = text[use], first[use], last[use]
+        model.weights[:, 0], model.side[:, 0], model.bias[0] = _learnt(hashes, first, ends[text], last, x[text], kinds[text] == RESIDUE, spoken[text], made[text], how)
+    if (kinds == NOTICE).any():
+        model.weights[:, 1], model.side[:, 1], model.bias[1] = _learnt(hashes, starts, ends, ends, x, kinds == NOTICE, spoken, made, how)
     if unseen.any():
-        s = model.scores([t for t, u in zip(texts, unseen) if u])
-        said = np.where(s.max(axis=1) > 0, s.argmax(axis=1) + 1, 0)
-        model.held_out = float((said == labels[unseen]).mean())
-        proper = s[labels[unseen] == PROPER, 0]
-        if len(proper):
-            model.sure = max(how.sure_least, float(np.quantile(proper, how.sure_share, method="higher")))
+        s = model.scores([t for t, u in zip(texts, unseen) if u], sides[unseen])
+        said, truth = np.where(s.max(axis=1) > 0, s.argmax(axis=1) + 1, 0), labels[unseen]
+        model.held_out, model.validated = float((said == truth).mean()), int(unseen.sum())
+        model.found = float((said[truth > 0] > 0).mean()) if (truth > 0).any() else float("nan")
+        model.wrong = float((said[truth == 0] > 0).mean()) if (truth == 0).any() else float("nan")
     return model
 
 
-def _bodies(batch: pa.RecordBatch, at: int) -> list[list[Container]]:
-    return [containers(decoded(b)) if b else [] for b in batch.column(at).to_pylist()]
-
+PARSED = (
+    "page_id long, host string, failed boolean, url long, outcome int, title string, hidden string, texts array<string>, kinds array<string>, runs array<long>, place array<int>, "
+    "loose array<int>, links array<int>, slots array<string>, around array<array<int>>, titled array<boolean>, fresh array<int>"
+)
 
-BODIES = "page_id long, host string, failed boolean, said array<string>, heads array<boolean>, hidden string"
 
-
-def read_bodies(pages: DataFrame) -> DataFrame:
-    """page_id, host, failed and the sentences of every fetched page and failed response, staged; each is parsed once."""
+def read_pages(pages: DataFrame) -> DataFrame:
+    """Staged: the text blocks of every fetched page and failed response and the elements they stand in; each is parsed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said, heads, hidden = list(zip(*map(sentences, _bodies(batch, 3)))) or [(), (), ()]
-            said = [[x.encode("utf-8", "replace").decode() for x in page] for page in said]
-            cols = [pa.array(said, pa.list_(pa.string())), pa.array(heads, pa.list_(pa.bool_())), pa.array(hidden, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=["page_id", "host", "failed", "said", "heads", "hidden"])
+            cols: list[list] = [[] for _ in range(12)]
+            for host, body in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist()):
+                page = decoded(body)
+                found, title = containers(page), title_of(page)
+                name = re.compile(re.escape(host), re.I) if host else None
+                elements: dict[tuple[int, ...], tuple[int, str]] = {}
+                blocks = [(elements.setdefault(c.inside, (len(elements), c.slot))[0], b) for c in found for b in c.blocks]
+                fresh = [0] * len(elements)
+                runs, loose = [], []
+                for e, b in blocks:
+                    text = b.text.replace(title, TITLE) if title and title in b.text else b.text
+                    text = DIGITS.sub("0", name.sub(HOST, text) if name else text)
+                    loose.append(min(b.loose, len(text.split())))
+                    if b.links < 2 and b.kind != "heading":
+                        fresh[e] += loose[-1]
+                    runs.append(xxhash.xxh64_intdigest(f"{b.kind}\n{text}".encode("utf-8", "replace"), 9) - (1 << 63))
+                row = (
+                    title.encode("utf-8", "replace").decode(), "\n".join(t for c in found for t in c.noscript).encode("utf-8", "replace").decode(),
+                    [b.text.encode("utf-8", "replace").decode() for _, b in blocks], [b.kind for _, b in blocks], runs, [e for e, _ in blocks], loose,
+                    [b.links for _, b in blocks], [x for _, x in elements.values()], [[elements[a[:i]][0] for i in range(len(a) + 1) if a[:i] in elements] for a in elements],
+                    _titled(blocks, len(elements), title), fresh,
+                )
+                for c, v in zip(cols, row):
+                    c.append(v)
+            many = [pa.list_(k) for k in (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.bool_(), pa.int32())]
+            made = [pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.string(), *many])]
+            names = [p.split(" ")[0] for p in PARSED.split(", ")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *made], names=names)
 
     rows = pages.where("page_id is not null and length(raw_body) > 0 and state in ('Fetched', 'HttpFailure')")
-    rows = rows.select("page_id", F.col("source_id").alias("host"), (F.col("state") != "Fetched").alias("failed"), "raw_body")
+    outcome = F.coalesce(*[F.when(F.col("rendering.outcome") == o, i + 1) for i, o in enumerate(OUTCOMES)], F.when(F.col("rendering.outcome").isNotNull(), 3), F.lit(0))
+    url = F.xxhash64(F.coalesce(F.regexp_replace("final_url", r"(?s)#.*$", ""), F.col("page_id").cast("string")))
+    rows = rows.select(
+        "page_id", F.col("source_id").alias("host"), (F.col("state") != "Fetched").alias("failed"), url.alias("url"), outcome.alias("outcome"), "raw_body"
+    )
+    return stage(rows.mapInArrow(run, PARSED), "parsed")
+
+
+def flagged(parsed: DataFrame, rule: Furniture) -> DataFrame:
+    """parsed with common and spread (the numbers of the blocks that many pages, or just several hosts, have) and weights (of its elements' slots)."""
+    seen = parsed.select("host", "url", F.explode(F.array_distinct("runs")).alias("run")).distinct()
+    by_host = stage(seen.groupBy("host", "run").agg(F.count("*").alias("n")), "runs")
+    pages = stage(parsed.groupBy(F.col("host").alias("of")).agg(F.count_distinct("url").alias("pages")), "host-pages")
+    own, shared = frequent_runs(by_host, pages, rule)
+    own = small_or_shuffled(stage(own, "own")).withColumn("mine", F.lit(True))
+    shared = small_or_shuffled(stage(shared.where("common or often").select(F.col("run").alias("any_run"), "common"), "shared"))
+    blocks = parsed.select("page_id", "host", F.posexplode("runs").alias("i", "run"))
+    hit = blocks.join(own, F.col("host").eqNullSafe(F.col("of")) & (F.col("run") == F.col("of_run")), "left").join(shared, F.col("run") == F.col("any_run"), "left")
+    often = F.coalesce("mine", F.lit(False)) | F.coalesce("common", F.lit(False))
+    hit = hit.where("mine or any_run is not null").groupBy("page_id").agg(
+        F.collect_set(F.when(often, F.col("i"))).alias("common"), F.collect_set(F.when(~often, F.col("i"))).alias("spread")
+    )
+    known = small_or_shuffled(stage(slot_weights(parsed.withColumn("first", F.lit(True))), "slots").select(F.col("host").alias("of"), F.col("slot").alias("of_slot"), "weight"))
+    slots = parsed.select("page_id", "host", F.posexplode("slots").alias("e", "slot"))
+    slots = slots.join(known, F.col("host").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("of_slot"))).groupBy("page_id").agg(
+        F.transform(F.array_sort(F.collect_set(F.struct("e", "weight"))), lambda s: s["weight"]).alias("weights")
+    )
+    return parsed.join(hit, "page_id", "left").join(slots, "page_id", "left")
+
+
+BODIES = "page_id long, host string, failed boolean, words int, hidden string, said array<string>, rest array<int>, sides array<array<int>>"
+
+
+def read_bodies(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
+    """Staged: page_id, host, failed, the words of the main body, and its sentences outside of code with their features.
+
+    hidden is what a noscript element says where the main body is empty.
+    """
+    rule = how.furniture
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for title, hidden, outcome, texts, kinds, place, loose, links, around, titled, common, spread, weights in zip(*(c.to_pylist() for c in batch.columns[3:])):
+                common, spread = set(common or ()), set(spread or ())
+                score = [rule.slot_weight * w + rule.title_words * t for w, t in zip(weights or [0.0] * len(around), titled)]
+                for i, e in enumerate(place):
+                    worth = -rule.furniture_words * len(texts[i].split()) if i in common else loose[i] if links[i] < 2 and kinds[i] != "heading" else 0
+                    for o in around[e]:
+                        score[o] += worth
+                main = max(range(len(score)), key=lambda e: (score[e], -e), default=None)
+                words = frozenset(title.lower().split())
+                mine = [i for i, e in enumerate(place) if main in around[e] and i not in common and not (kinds[i] == "list" and not loose[i])]
+                sizes = {i: len(texts[i].split()) for i in mine if kinds[i] != "heading"}
+                total = sum(sizes.values())
+                said, rest, sides = [], [], []
+                for i in mine:
+                    if kinds[i] == "code":
+                        continue
+                    for x in SPLIT.split(texts[i]):
+                        if x:
+                            n = len(x.split()) if i in sizes else 0
+                            said.append(x)
+                            rest.append(n)
+                            sides.append(side_features(x, kinds[i] == "heading", words, i in spread, total - sizes.get(i, 0), outcome))
+                if not total:
+                    for x in SPLIT.split(hidden):
+                        if x:
+                            said.append(x)
+                            rest.append(len(x.split()))
+                            sides.append(side_features(x, False, words, False, 0, outcome))
+                out.append((total, hidden if not total else "", said, rest, sides))
+            cols = list(zip(*out)) or [()] * 5
+            kinds_ = (pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
+            made = [pa.array(c, k) for c, k in zip(cols, kinds_)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["page_id", "host", "failed", "words", "hidden", "said", "rest", "sides"])
+
+    rows = flagged(read_pages(pages), rule).select(
+        "page_id", "host", "failed", "title", "hidden", "outcome", "texts", "kinds", "place", "loose", "links", "around", "titled", "common", "spread", "weights"
+    )
     return stage(rows.mapInArrow(run, BODIES), "bodies")
 
 
 def labelled(bodies: DataFrame, how: Fit = Fit()) -> DataFrame:
-    """sentence, label, host (a hash) from at most sample_pages fetched pages and as many failed responses.
+    """sentence, sides, label, host (a hash) from at most sample_pages fetched pages and as many failed responses.
 
-    What stands in a failed response is a notice; of the others the phrases tell.
+    What stands in a failed response with little text is a notice, and what a noscript element says where the body is
+    empty. Of the others the phrases tell, and the company: a
+    block that several hosts have on few of their pages is no prose; alone in its body it is a notice, else residue.
     """
     rows = bodies.withColumn("turn", F.xxhash64("page_id", F.lit(3)))
     # Only the numbers of the pages in the sample come to the driver; their bodies stay where they are.
@@ -220,110 +365,97 @@ def labelled(bodies: DataFrame, how: Fit = Fit()) -> DataFrame:
         rows.where(kind).select("turn").orderBy("turn").limit(how.sample_pages).agg(F.max("turn")).first()[0] for kind in ("not failed", "failed")
     ]
     low = [F.lit(-(1 << 63) if x is None else x) for x in last]
-    taken = rows.where(F.col("turn") <= F.when(F.col("failed"), low[1]).otherwise(low[0])).select("said", "heads", "failed", "host")
+    taken = rows.where(F.col("turn") <= F.when(F.col("failed"), low[1]).otherwise(low[0])).select("said", "sides", "failed", "host", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, int, int]] = []
-            for said, heads, failed, host in zip(*(c.to_pylist() for c in batch.columns)):
-                short = sum(len(x.split()) for x, h in zip(said, heads) if not h) < 60
+            out: list[tuple] = []
+            for said, sides, failed, host, words in zip(*(c.to_pylist() for c in batch.columns)):
                 place = sum(map(ord, host or ""))
-                for x, h in zip(said, heads):
+                for x, s in zip(said, sides):
                     label = weak_label(x)
-                    if failed and short and not h and label == PROPER:
+                    told = label != PROPER or EXPLAINED.search(x) or SIDE["heading"][0] in s
+                    if not told and ((failed and words < 60) or not words):
                         label = NOTICE
-                    out.append((x, label, place))
-            cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["sentence", "label", "host"]
-            )
-
-    return taken.mapInArrow(run, "sentence string, label int, host int")
-
+                    elif not told and SIDE["spread"][0] in s:
+                        label = NOTICE if SIDE["rest"][0] in s else RESIDUE
+                    out.append((x, s, label, place))
+            cols = list(zip(*out)) or [(), (), (), ()]
+            kinds = (pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sentence", "sides", "label", "host"])
+
+    return taken.mapInArrow(run, "sentence string, sides array<int>, label int, host int")
+
+
+def planted(texts: list[str], labels: np.ndarray, how: Fit) -> list[tuple[int, str]]:
+    """Proper sentences with a mark of another one set between two of their words: which sentence, and the new text."""
+    marks = sorted({m[0] for t, k in zip(texts, labels) if k == RESIDUE and (m := PLACEHOLDER.search(t))})
+    prose = np.nonzero((labels == PROPER) & np.array([t.count(" ") > 5 for t in texts], bool))[0]
+    rng = np.random.default_rng(how.seed)
+    out = []
+    if marks and len(prose):
+        for i in rng.choice(prose, min(how.planted, 4 * len(prose))):
+            words = texts[i].split(" ")
+            words.insert(int(rng.integers(0, len(words))), marks[int(rng.integers(len(marks)))])
+            out.append((int(i), " ".join(words)))
+    return out
 
-def furniture(bodies: DataFrame, how: Fit = Fit()) -> frozenset[str]:
-    """The short sentences, their numbers alike, that no phrase labels and that stand on enough of all fetched pages
-    or of those of one host: furniture_pages at least, and furniture_share or host_share of them.
 
-    Counted by distinct page over every page. For each host, at most (sentences of a page) / host_share come to the driver.
-    """
-    fetched = bodies.where("not failed")
-    sizes = fetched.groupBy("host").agg(F.countDistinct("page_id").alias("of_pages"))
-    total = sizes.agg(F.sum("of_pages")).first()[0] or 0
-    said = fetched.select("page_id", "host", F.explode("said").alias("said")).where("length(said) < 200")
-    said = said.select("page_id", "host", F.regexp_replace("said", r"[0-9]+", "0").alias("said")).withColumn("h", F.xxhash64("said"))
-    counted = said.select("page_id", "host", "h").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
-    counted = stage(counted, "counted")
-    own = counted.join(F.broadcast(sizes), counted["host"].eqNullSafe(sizes["host"])).where(F.col("n") >= F.greatest(F.lit(how.furniture_pages), how.host_share * F.col("of_pages")))
-    shared = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(how.furniture_pages, how.furniture_share * total))
-    often = own.select("h").unionByName(shared.select("h")).distinct()
-    found = said.join(often, "h", "left_semi").groupBy("h").agg(F.min("said").alias("said")).select("said").toArrow().column(0).to_pylist()
-    return frozenset(x for x in found if weak_label(x) == PROPER)
+def spoken_for(texts: list[str], labels: np.ndarray, share: float = 0.25) -> np.ndarray:
+    """The labels, with residue for sentences whose words mostly stand in sentences labelled so: filler that goes on."""
+    said = [t.lower().split() for t in texts]
+    found, proper = Counter(), Counter()
+    for words, k in zip(said, labels):
+        if k != NOTICE:
+            (found if k == RESIDUE else proper).update(set(words))
+    odd = [
+        k == PROPER and len(w) > 3 and not EXPLAINED.search(t) and sum(found[x] / (found[x] + proper[x]) for x in w) > share * len(w)
+        for t, w, k in zip(texts, said, labels)
+    ]
+    return np.where(odd, RESIDUE, labels)
 
 
 def trained(bodies: DataFrame, how: Fit = Fit()) -> Linear:
-    rows = stage(labelled(bodies, how).distinct(), "labelled")
-    # All parts are bounded by the sample and by the numbers of sentences kept here.
+    rows = stage(labelled(bodies, how), "labelled")
+    # All parts are bounded by the numbers of sentences kept here.
     turn = F.xxhash64("sentence", "host")
-    kept = rows.where("label > 0").orderBy(turn).limit(how.proper_sentences)
-    kept = kept.unionByName(rows.where("label = 0").orderBy(turn).limit(how.proper_sentences)).toArrow()
-    texts, labels, hosts = kept.column(0).to_pylist(), kept.column(1).to_numpy(), kept.column(2).to_numpy()
-    sure = ~disputed(texts, labels)
-    model = fit([t for t, s in zip(texts, sure) if s], labels[sure], hosts[sure], how)
-    model.furniture = furniture(bodies, how)
-    return model
-
-
-def disputed(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Whether a sentence labelled as a notice by its response's status alone stands in proper pages too."""
-    proper = {DIGITS.sub("0", t) for t, k in zip(texts, labels) if k == PROPER}
-    return np.array([k == NOTICE and weak_label(t) == PROPER and DIGITS.sub("0", t) in proper for t, k in zip(texts, labels)], bool)
-
-
-def judged(pages: list[tuple[list[str], list[bool], str]], model: Linear, how: Fit = Fit()) -> list[str | None]:
-    """For each page: residue, notice or None."""
-    flat = [x for said, _, _ in pages for x in said]
-    scores = model.scores(flat)
-    possible = scores.max(axis=1, initial=-np.inf) > POSSIBLE
-    possible |= np.array([SUSPECT.search(x) is not None for x in flat], bool)
-    # Listed phrases count however the sentence scores.
-    possible |= np.array([any(w in x for w in FILLER_WORDS) for x in map(str.lower, flat)], bool)
+    kept = rows.where("label > 0").orderBy(turn).limit(how.sample_sentences)
+    kept = kept.unionByName(rows.where("label = 0").orderBy(turn).limit(how.sample_sentences)).toArrow()
+    texts, labels, hosts = kept.column(0).to_pylist(), kept.column(2).to_numpy(), kept.column(3).to_numpy()
+    sides = _sides(kept.column(1).to_pylist())
+    more = [(i, t) for i, t in planted(texts, labels, how) if not EXPLAINED.search(t) and hosts[i] % how.held_out]
+    labels = spoken_for(texts, labels)
+    n = len(texts)
+    if more:
+        at = np.array([i for i, _ in more])
+        texts, sides = texts + [t for _, t in more], np.concatenate([sides, sides[at]])
+        labels, hosts = np.concatenate([labels, np.full(len(at), RESIDUE)]), np.concatenate([hosts, hosts[at]])
+    return fit(texts, sides, labels, hosts, how, n)
+
+
+def judged(pages: list[tuple[int, str, list[str], list[int], list[list[int]]]], model: Linear, how: Fit = Fit()) -> list[str | None]:
+    """For each page (words, hidden, sentences, their words, their features): residue, notice or None."""
+    flat = [x for p in pages for x in p[2]]
+    scores = model.scores(flat, _sides([s for p in pages for s in p[4]]))
     out: list[str | None] = []
     at = 0
-    for said, heads, hidden in pages:
-        near, s = possible[at : at + len(said)], scores[at : at + len(said)]
+    for words, _, said, sizes, _ in pages:
+        s = scores[at : at + len(said)]
         at += len(said)
         kind: str | None = None
-        noticed: set[int] = set()
-        for i in np.nonzero(near)[0]:
-            x, (r, n) = said[i], s[i]
-            marked = weak_label(x)
-            if marked == RESIDUE or (marked == PROPER and (r > model.sure or (r > 0 and _repeats(x))) and not EXPLAINED.search(x)):
-                kind = "residue"
-                break
-            if marked == NOTICE or (n > NOTICED and not heads[i] and DIGITS.sub("0", x) not in model.furniture and not EXPLAINED.search(x)):
-                noticed.add(int(i))
-        if kind is None:
-            length = [1]
-            if noticed or len(said) < 8:
-                length = [0 if h or DIGITS.sub("0", x) in model.furniture else len(x.split()) for x, h in zip(said, heads)]
-            words = sum(w for i, w in enumerate(length) if i not in noticed)
-            if noticed and words <= max(how.other_words, how.share_of_words * sum(length)):
-                kind = "notice"
-            elif all(heads) and hidden and (MESSAGE.search(hidden) or model.scores([hidden])[0, 1] > 0):
+        if (s[:, 0] > np.maximum(0, s[:, 1])).any() and words:
+            kind = "residue"
+        elif (noticed := np.nonzero((s[:, 1] > 0) & (np.array(sizes) > 0))[0]).size:
+            other = max(words, sum(sizes)) - sum(sizes[i] for i in noticed)
+            if other <= max(how.other_words, how.share_of_words * words):
                 kind = "notice"
         out.append(kind)
     return out
 
 
-def _repeats(sentence: str) -> bool:
-    words = sentence.lower().split()
-    return len(words) >= 4 and len(set(words)) * 2 <= len(words)
-
-
 def residue_pages(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
     """page_id, kind (residue or notice) of the pages to be kept out of the index."""
-    bodies = read_bodies(pages)
+    bodies = read_bodies(pages, how)
     model = pages.sparkSession.sparkContext.broadcast(trained(bodies, how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,5 +466,12 @@ def residue_pages(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
                 [batch.column(0).take(at), pa.array([k for k in kinds if k], pa.string())], names=["page_id", "kind"]
             )
 
-    found = bodies.where("not failed").select("page_id", "said", "heads", "hidden").mapInArrow(run, "page_id long, kind string")
+    found = bodies.where("not failed").select("page_id", "words", "hidden", "said", "rest", "sides").mapInArrow(run, "page_id long, kind string")
     return found.groupBy("page_id").agg(F.max("kind").alias("kind"))
+
+
+def validation(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
+    """One row: sentences of hosts left out of the training, the classifier's accuracy on them, the share of their
+    labelled ones that it finds and of their proper ones that it takes for cases."""
+    model = trained(read_bodies(pages, how), how)
+    return pages.sparkSession.createDataFrame([(model.validated, model.held_out, model.found, model.wrong)], "sentences int, accuracy double, found double, wrong double")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import main_body, mixing, packing, pages, rank_fusion, residue
+from folioscope.llm import main_body, mixing, packing, pages, rank_fusion, residue, suffix_array
 from folioscope.llm import vector_neighbours as vn
 
 EMB = "embedding_id long, space_id string, chunk_id string, vector array<double>, status string, updated_at timestamp, dim int, unit string, did int"
@@ -165,97 +165,158 @@ def site(body, title="Title"):
     return f'<html><head><title>{title}</title></head><body><div id="menu"><ul><li><a href="/a">Home</a></li><li><a href="/b">Blog</a></li></ul></div><div id="content">{body}</div><div id="bottom"><p>© {{{{ year }}}} Site</p></div></body></html>'
 
 
-def test_containers_and_main():
-    found = pages.containers(site("<h1>T</h1><p>One &amp; two<br>three</p><pre>a\n b</pre><ul><li>x<li>y</ul><div class='note'>N</div><table><tr><td>1<td>2</table>".replace("<li>x<li>y", "<li>x</li><li>y</li>").replace("<td>1<td>2", "<td>1</td><td>2</td>")))
-    main = found[pages.main_container(found)]
-    assert [b.kind for b in main.blocks] == ["heading", "paragraph", "code", "list", "note", "table"]
-    assert main.blocks[1].text == "One & two three" and main.blocks[3].text == "x\ny" and main.blocks[5].text == "1\t2"
-    assert pages.containers("") == [] and pages.main_container([]) is None
+def test_containers_and_slots():
+    found = pages.containers(site("<h1>T</h1><p>One &amp; two<br>three</p><pre>a\n b</pre><ul><li>x <a href='/'>y z</a></li><li>y</li></ul><div class='note'>N</div><table><tr><td>1</td><td>2</td></table>"))
+    main = [c for c in found if c.slot.startswith('/div id="content"')]
+    blocks = [b for c in main for b in c.blocks]
+    assert [b.kind for b in blocks] == ["heading", "paragraph", "code", "list", "note", "table"]
+    assert blocks[1].text == "One & two three" and blocks[3].text == "x y z\ny" and blocks[3].loose == 2 and blocks[5].text == "1\t2"
+    assert main[0].inside == main[2].inside and main[1].inside[:-1] == main[0].inside and main[1].slot == main[0].slot + '/div class="note"'
+    assert pages.containers("") == [] and pages.title_of("<title>A &amp; b</title>") == "A & b"
 
 
 PAGE = "page_id long, source_id string, raw_body binary, state string, status int, kind string, shards int, h long"
 
 
-def test_residue_kinds(spark):
-    ok = "<h1>Cache</h1><p>The cache keeps {n} entries until the lease ends and then drops all of them at once.</p>"
-    rows = [(i, f"s{i % 7}", site(ok.replace("{n}", str(i)) + f"<p>Another sentence about item {i} and its many parts.</p>").encode(), "Fetched", 200, "", 1, 1) for i in range(80)]
-    rows += [(100 + i, f"s{i % 7}", site("<h2>404 - Page not found</h2><p>The page you asked for does not exist or has been moved.</p>").encode(), "HttpFailure", 404, "", 1, 1) for i in range(30)]
+def residue_rows():
+    ok = "<h1>Cache</h1><p>The cache {n} keeps entries until the lease ends and then drops all of them at once.</p>"
+    name = lambda i: "".join("kbdfgjlmnp"[int(d)] + "aeiou"[int(d) % 5] for d in str(1000 + i))
+    lorem = "Lorem ipsum dolor sit amet.", "TODO: write this section.", "Coming soon.", "Text to follow."
+    marks = "{{ user.name }}", "%%SITE_NAME%%", "[[INSERT TEXT]]"
+    rows = [(i, f"s{i % 7}", site(ok.replace("{n}", name(i)) + f"<p>Another sentence about item {name(5000 + i)} and its many parts.</p>").encode(), "Fetched", 200, "", 1, 1) for i in range(120)]
+    rows += [(200 + i, f"s{i % 7}", site(ok.replace("{n}", name(i)) + f"<p>{lorem[i % 4]}</p>").encode(), "Fetched", 200, "", 1, 1) for i in range(40)]
+    rows += [(300 + i, f"s{i % 7}", site(f"<h1>T{name(i)}</h1><p>Welcome to {marks[i % 3]}.</p>").encode(), "Fetched", 200, "", 1, 1) for i in range(30)]
+    rows += [(400 + i, f"s{i % 7}", site(ok.replace("{n}", name(i)) + f"<p>The mark {marks[i % 3]} is replaced by the engine {name(i)}.</p>").encode(), "Fetched", 200, "", 1, 1) for i in range(40)]
+    rows += [(1000 + i, f"s{i % 7}", site("<h2>404 - Page not found</h2><p>The page you asked for does not exist or has been moved.</p>").encode(), "HttpFailure", 404, "", 1, 1) for i in range(30)]
+    rows += [(1100 + i, f"s{i % 7}", site('<div id="app"></div><noscript>Please enable JavaScript to view this page.</noscript>').encode(), "Fetched", 200, "", 1, 1) for i in range(12)]
     cases = {
-        500: site("<h1>__INTRO_TEXT__</h1><p>Welcome to @@BODY@@.</p>"),
-        501: site(ok + "<p>Lorem ipsum dolor sit amet.</p>"),
+        500: site("<h1>[[INSERT TEXT]]</h1><p>Welcome to {{ user.name }}.</p>"),
+        501: site(ok.replace("{n}", name(901)) + "<p>Lorem ipsum dolor sit amet.</p>"),
         502: site("<h2>Oops</h2><p>The page you asked for does not exist or has been moved.</p>"),
         503: site('<div id="app"></div><noscript>Please enable JavaScript to view this page.</noscript>'),
-        504: site("<h1>T</h1><p>Text with {{ user.name }} inside of it.</p>"),
     }
     others = {
-        600: site(ok + "<p>The mark {{ user.name }} is replaced by the engine.</p>"),
-        601: site(ok.replace("{n}", "7") + "<pre>{{ user.name }} {% if %}</pre>"),
-        602: site(ok.replace("{n}", "7") + "<noscript>Please enable JavaScript.</noscript>"),
+        600: site(ok.replace("{n}", name(902)) + "<p>The mark {{ user.name }} is replaced by the engine.</p>"),
+        601: site(ok.replace("{n}", name(903)) + "<pre>{{ user.name }} {% if %}</pre>"),
+        602: site(ok.replace("{n}", name(903)) + "<noscript>Please enable JavaScript to view this page.</noscript>"),
         603: site(""),
         604: "",
     }
     rows += [(k, "s1", v.encode(), "Fetched", 200, "", 1, 1) for k, v in (cases | others).items()]
-    rows += [(700, None, None, "Fetched", 200, "", 1, 1), (701, "s", cases[500].encode(), "Blocked", 403, "", 1, 1), (None, "s", cases[500].encode(), "Fetched", 200, "", 1, 1), rows[-10]]
-    got = {r.page_id for r in residue.residue_pages(spark.createDataFrame(rows, PAGE)).collect()}
-    assert got == set(cases)
-    assert residue.residue_pages(spark.createDataFrame([], PAGE)).count() == 0
+    rows += [(700, None, None, "Fetched", 200, "", 1, 1), (701, "s", cases[500].encode(), "Blocked", 403, "", 1, 1), (None, "s", cases[500].encode(), "Fetched", 200, "", 1, 1), rows[-9]]
+    return rows, set(cases) | set(range(200, 240)) | set(range(300, 330)) | set(range(1100, 1112))
+
+
+def residue_frame(spark, rows):
+    df = spark.createDataFrame(rows, PAGE)
+    return df.withColumn("final_url", F.concat(F.lit("u"), "page_id")).withColumn("rendering", F.struct(F.lit("rendered").alias("outcome"), F.lit(1).alias("fresh")))
+
+
+#: A small host's template is on few pages.
+SMALL = residue.Fit(furniture=main_body.Furniture(min_pages=20, all_pages=120, all_share=0.5, host_share=0.5))
+
+
+def test_residue_kinds(spark):
+    rows, cases = residue_rows()
+    got = {r.page_id for r in residue.residue_pages(residue_frame(spark, rows), SMALL).collect()}
+    assert got == cases
+    assert residue.residue_pages(residue_frame(spark, []), SMALL).count() == 0
+
 
+def test_the_classifier_decides(spark):
+    rows, _ = residue_rows()
+    bodies = residue.read_bodies(residue_frame(spark, rows), SMALL)
+    model = residue.trained(bodies, SMALL)
+    assert model.validated > 20 and model.held_out > 0.95
+    found = [(r.words, r.hidden, r.said, r.rest, r.sides) for r in bodies.collect()]
+    none = residue.Linear(np.zeros_like(model.weights), np.zeros_like(model.side), np.full(2, -0.1, np.float32))
+    assert any(residue.judged(found, model)) and not any(residue.judged(found, none))
 
-def test_filler_without_a_phrase_is_found_by_its_score():
+
+def test_filler_without_a_phrase_is_labelled_by_its_words_and_found():
     latin = "velora quandor sepina tremor cundor mentum simet noctes arvana gravor".split()
     plain = "the cache keeps every entry until its lease ends and then drops them all".split()
     rng = np.random.default_rng(5)
-    filler = [" ".join(rng.choice(latin, 12)) for _ in range(60)]
+    filler = ["Lorem ipsum " + " ".join(rng.choice(latin, 12)) for _ in range(40)] + [" ".join(rng.choice(latin, 12)) for _ in range(20)]
     proper = [" ".join(rng.choice(plain, 12)) for _ in range(200)]
-    labels = np.array([residue.RESIDUE] * 60 + [residue.PROPER] * 200)
-    model = residue.fit(filler + proper, labels, np.arange(260))
+    texts = filler + proper
+    labels = residue.spoken_for(texts, np.array([residue.weak_label(t) for t in texts]))
+    assert (labels[:60] == residue.RESIDUE).all() and not labels[60:].any()
+    side = residue.side_features("x" * 70, False, frozenset(), False, 40, 0)
+    model = residue.fit(texts, residue._sides([side] * 260), labels, np.arange(260))
     fresh, other = " ".join(rng.permutation(latin)), " ".join(rng.permutation(plain))
-    assert residue.weak_label(fresh) == residue.PROPER and not residue._repeats(fresh)
-    said = [([other, fresh], [False] * 2, ""), ([other], [False], ""), ([other, "For example " + fresh], [False] * 2, "")]
-    assert residue.judged(said, model) == ["residue", None, None]
-    assert residue.judged(said, residue.Linear(model.weights, model.bias)) == [None] * 3
-
-
-def test_listed_filler_counts_at_any_score():
-    sure_of_none = residue.Linear(np.zeros((residue.BUCKETS + 10, 2), np.float32), np.full(2, -9.0, np.float32))
-    listed = ["Coming soon.", "Texte à venir", "Insert body copy here", "Placeholder text", "Texto de relleno", "TODO: write", "Dummy content"]
-    assert residue.judged([([x], [False], "") for x in listed], sure_of_none) == ["residue"] * len(listed)
+    assert residue.judged([(30, "", [other, fresh], [10, 10], [side, side]), (30, "", [other], [10], [side])], model) == ["residue", None]
 
 
-def test_furniture_is_counted_on_all_pages_by_page(spark):
-    own = "<p>Page {i} tells of {w} in the words that nobody else has.</p>"
-    rows = [(i, f"big{i % 3}", site(own.format(i=i, w=chr(97 + i % 26) * (2 + i // 26))).encode(), "Fetched", 200, "", 1, 1) for i in range(200)]
-    rows += [(1000 + i, "small", site(f"<p>Helped {i} readers of the small host.</p>").encode(), "Fetched", 200, "", 1, 1) for i in range(5)]
-    rows += [(2000, "big1", site("<p>Said many times.</p>" * 9).encode(), "Fetched", 200, "", 1, 1)]
-    bodies = residue.read_bodies(spark.createDataFrame(rows + rows[:1] * 6, PAGE))
-    how = residue.Fit(sample_pages=3)
-    assert residue.trained(bodies, how).furniture == {"Helped 0 readers of the small host."}
+def test_a_mark_in_a_long_sentence_fills_a_piece():
+    _, starts, ends = residue._hashed(["short", "y" * 200])
+    text, first, last = residue.pieces(starts, ends)
+    assert list(text) == [0] + [1] * 6 and last[-1] == ends[1] and (last - first <= residue.PIECE).all()
+    assert residue.marked("Für {{ a.b }} x") == (5, 14)
 
 
 SECTION = "page_id long, source_id string, document_url string, section_id int, blocks array<struct<kind:string,text:string,links:int,extra:int>>, shard int, marks int"
 
 
-def test_main_blocks(spark):
-    body = '<h1>T{i}</h1><p>Unique words of page {i} about {w}.</p><p>Was this page of any help to you?</p><div class="promo">Buy now {i}</div><ul><li><a href="/n">Next: page {j}</a></li></ul>'
+def main_tables(spark):
+    words = "alpha bravo carol delta echo forum gamma hotel india juliet kappa lemon".split()
     pages_, sections = [], []
-    for i in range(40):
-        html = site(body.replace("{i}", str(i)).replace("{j}", str(i + 1)).replace("{w}", "abcdefghij"[i % 10] * 5))
-        pages_.append((i, "s" if i % 2 else None, html.encode(), "Fetched", 200, "", 1, 1))
-        flat = [("list", "Home\nBlog", 2)], [("paragraph", f"Unique words of page {i} about {'abcdefghij'[i % 10] * 5}.", 0), ("paragraph", "Was this page of any help to you?", 0), ("paragraph", f"Buy now {i}", 0), ("list", f"Next: page {i + 1}", 1), ("paragraph", "© {{ year }} Site", 0)]
+    for i in range(60):
+        own = " ".join(words[(i * k + k) % 12] + "abcdefghijklmnopqrst"[(i + k) % 20] for k in range(1, 15))
+        body = f'<h1>T{i}</h1><p>{own}</p><p>Was this page of any help to you?</p><div class="promo">Buy now {i}</div><ul><li><a href="/n">Next: page {i + 1}</a></li></ul>'
+        side = f'<div id="side"><h3>Related</h3><ul><li><a href="/r">Read {own[:9]} as well</a></li></ul></div>'
+        pages_.append((i, "s" if i % 2 else None, site(body, f"T{i}").replace('<div id="bottom">', side + '<div id="bottom">').encode(), "Fetched", 200, "", 1, 1))
+        flat = [("list", "Home\nBlog", 2)], [("paragraph", own, 0), ("paragraph", "Was this page of any help to you?", 0), ("paragraph", f"Buy now {i}", 0), ("list", f"Next: page {i + 1}", 1)], [("list", f"Read {own[:9]} as well", 1), ("paragraph", "© {{ year }} Site", 0)]
         sections += [(i, "s" if i % 2 else None, f"u{i}", n, [(*b, 0) for b in bs], 0, 0) for n, bs in enumerate(flat)]
     sections += [(900, "z", "u900", 0, [("paragraph", "before", 0, 0)], 0, 0), (900, "z", "u900", 1, [("paragraph", "article text", 0, 0), ("paragraph", None, None, 0)], 0, 0), (901, "z", None, 1, None, 0, 0), sections[1]]
-    got = {tuple(r) for r in main_body.main_blocks(spark.createDataFrame(pages_, PAGE), spark.createDataFrame(sections, SECTION)).collect()}
-    assert got == {(i, 1, 0) for i in range(40)} | {(900, 1, 0)}
-    assert main_body.main_blocks(spark.createDataFrame([], PAGE), spark.createDataFrame([], SECTION)).count() == 0
+    p = spark.createDataFrame(pages_, PAGE).withColumn("final_url", F.concat(F.lit("u"), "page_id"))
+    return p, spark.createDataFrame(sections, SECTION)
+
+
+def test_main_blocks(spark):
+    p, sections = main_tables(spark)
+    wanted = {(i, 1, 0) for i in range(60)} | {(900, 1, 0)}
+    assert {tuple(r) for r in main_body.main_blocks(p, sections).collect()} == wanted
+    # Cut into shards, the same strings are found, for their counts are summed.
+    assert {tuple(r) for r in main_body.main_blocks(p, sections, main_body.Furniture(shard_pages=8)).collect()} == wanted
+    none = spark.createDataFrame([], PAGE).withColumn("final_url", F.lit("u"))
+    assert main_body.main_blocks(none, spark.createDataFrame([], SECTION)).count() == 0
+
+
+def test_without_repeats_the_furniture_stays(spark):
+    """What the suffix array counts decides: nothing else knows the prompt and the promotion."""
+    p, sections = main_tables(spark)
+    off = main_body.Furniture(min_pages=10**9, all_pages=10**9)
+    got = {tuple(r) for r in main_body.main_blocks(p, sections, off).collect()}
+    assert {(i, 1, b) for i in range(60) for b in (0, 1, 2)} <= got
 
 
-def test_suffix_array_order():
+def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(8)
-    tokens, ends = rng.integers(0, 3, 200), np.repeat([100, 200], 100)
-    order, rank = main_body.suffix_array(tokens, ends, 16)
-    key = lambda i: tuple(tokens[i : min(i + 16, ends[i])])
-    assert all(key(a) <= key(b) for a, b in zip(order, order[1:]))
-    assert all((rank[a] == rank[b]) == (key(a) == key(b)) for a, b in zip(order, order[1:]))
+    for n, kinds in ((0, 2), (1, 1), (60, 1), (300, 2), (400, 5)):
+        t = rng.integers(0, kinds, n)
+        sa, lcp = suffix_array.suffix_array(t)
+        said = [tuple(t[i:]) for i in sa]
+        assert said == sorted(said)
+        for a, b, k in zip(said, said[1:], lcp[1:]):
+            assert a[:k] == b[:k] and (len(a) == k or a[k] != b[k])
+
+
+def test_repeats_against_brute_force():
+    rng = np.random.default_rng(9)
+    t, owner = rng.integers(0, 2, 240), np.repeat(np.arange(12), 20)
+    t[19::20] = 100 + np.arange(12)
+    sa, lcp = suffix_array.suffix_array(t)
+    got = suffix_array.covered(sa, lcp, owner, 5, 3)
+    want = np.zeros(240, bool)
+    grams = [tuple(t[i : i + 5]) for i in range(236)]
+    for i, g in enumerate(grams):
+        if len({owner[j] for j, h in enumerate(grams) if h == g}) >= 3:
+            want[i : i + 5] = True
+    assert (got == want).all() and want.any() and not want.all()
+    t = np.array([7, 8, 1, 7, 8, 1, 7, 9, 1, 7, 8, 1])
+    sa, lcp = suffix_array.suffix_array(t)
+    assert list(suffix_array.whole_supports(sa, lcp, np.array([0, 3, 6, 9]), np.full(4, 3), np.array([0, 0, 1, 2]))) == [2, 2, 1, 2]
 
 
 def test_the_core_does_not_need_this_package():
