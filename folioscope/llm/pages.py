@@ -62,7 +62,7 @@ def decoded(body: bytes, declared: str | None = None) -> str:
 
 
 def _plain(text: str) -> str:
-    return SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
+    return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
 def title_of(page: str) -> str:
@@ -77,7 +77,6 @@ def containers(page: str) -> list[Container]:
     boxes: list[tuple[str, str, tuple[int, ...]]] = []
     opened = 0
     layout = 0
-    at = 0
     text: list[str] = []
     items: list[str] = []
     cells: list[list[str]] = []
@@ -106,26 +105,23 @@ def containers(page: str) -> list[Container]:
             out.append(here)
         here = Container(*boxes[-1][1:]) if boxes else Container("")
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    # The text before each tag and the tag's groups, in turn, and the text after the last one.
+    parts = TOKEN.split(page)
+    for piece, closing, tag, given, skipped, content, _, br, link in zip(*(parts[i:-1:9] for i in range(9))):
+        if piece:
             text.append(piece)
             if inside:
                 linked += len(piece.split())
-        at = m.end()
-        tag = m.group(2)
         if tag is None:
-            skipped = m.group(4)
-            if skipped:
-                if skipped.lower() == "noscript":
-                    here.noscript.append(_plain(re.sub(r"<[^>]*>", " ", m.group(5))))
-            elif m.group(7):
-                text.append("\n" if kind == "code" else " ")
-            elif m.group(8):
-                inside = m.group(8)[0] != "/"
+            if link:
+                inside = link[0] != "/"
                 links += inside
+            elif br:
+                text.append("\n" if kind == "code" else " ")
+            elif skipped and skipped.lower() == "noscript":
+                here.noscript.append(_plain(re.sub(r"<[^>]*>", " ", content)))
             continue
-        tag, closing = tag.lower(), m.group(1)
+        tag = tag.lower()
         if kind == "code":
             if closing and tag == "pre":
                 flush()
@@ -171,7 +167,7 @@ def containers(page: str) -> list[Container]:
                 if boxes and boxes[-1][0] == tag:
                     boxes.pop()
             else:
-                attrs = SPACE.sub(" ", m.group(3)).replace("'", '"').strip()
+                attrs = SPACE.sub(" ", given).replace("'", '"').strip()
                 opened += 1
                 around, path = (boxes[-1][2], boxes[-1][1]) if boxes else ((), "")
                 boxes.append((tag, f"{path}/{tag} {attrs}".rstrip(), (*around, opened)))
@@ -196,8 +192,8 @@ def containers(page: str) -> list[Container]:
                 kind, level = "heading", int(tag[1])
                 continue
         level = 0
-    if at < len(page):
-        text.append(re.sub(r"<[^>]*$", "", page[at:]))
+    if parts[-1]:
+        text.append(re.sub(r"<[^>]*$", "", parts[-1]))
     flush()
     go_on()
     return out

@@ -53,9 +53,9 @@ class Fit:
     other_words, share_of_words: how much may stand beside a message.
     """
 
-    sample_pages: int = 4_000
+    sample_pages: int = 3_000
     sample_sentences: int = 10_000
-    rounds: int = 80
+    rounds: int = 64
     rate: float = 0.9
     decay: float = 1e-5
     held_out: int = 5
@@ -114,23 +114,22 @@ def _stops(starts: np.ndarray, ends: np.ndarray, last: np.ndarray) -> list[np.nd
     return [np.maximum(starts + 1, np.minimum(last, ends - n + 2)) for n in GRAMS]
 
 
-def side_features(sentence: str, heading: bool, title: frozenset[str], spread: bool, rest: int, outcome: int) -> list[int]:
-    """The numbers of the features beside the n-grams that a sentence has."""
+LENGTH, HEADING, RELATED, SPREAD, REST, OUTCOME = (SIDE[k][0] for k in ("length", "heading", "title", "spread", "rest", "outcome"))
+
+
+def side_features(sentence: str, heading: bool, title: frozenset[str], spread: bool, rest: int, outcome: int) -> int:
+    """The features beside the n-grams that a sentence has, a bit for each."""
     words = sentence.lower().split()
-    common = sum(w in title for w in words)
-    related = 0 if not title or not common else 1 if common * 2 <= len(words) else 2 if common < len(words) else 3
-    return [
-        SIDE["length"][0] + min(9, len(sentence).bit_length()), SIDE["title"][0] + related,
-        SIDE["rest"][0] + min(9, rest.bit_length()), SIDE["outcome"][0] + outcome,
-        *([SIDE["heading"][0]] if heading else []), *([SIDE["spread"][0]] if spread else []),
-    ]
-
-
-def _sides(rows: list[list[int]]) -> np.ndarray:
-    out = np.zeros((len(rows), N_SIDE), np.float32)
-    for i, r in enumerate(rows):
-        out[i, r] = 1
-    return out
+    common = len(title.intersection(words))
+    related = 0 if not common else 1 if common * 2 <= len(words) else 2 if common < len(words) else 3
+    return (
+        1 << LENGTH + min(9, len(sentence).bit_length()) | 1 << RELATED + related | 1 << REST + min(9, rest.bit_length()) | 1 << OUTCOME + outcome
+        | heading << HEADING | spread << SPREAD
+    )
+
+
+def _sides(rows) -> np.ndarray:
+    return (np.asarray(rows, np.int64)[:, None] >> np.arange(N_SIDE) & 1).astype(np.float32)
 
 
 @dataclass
@@ -157,7 +156,7 @@ class Linear:
             a, e, b = (first, ends[text], last) if k == 0 else (starts, ends, ends)
             total, count = np.zeros(len(a)), np.zeros(len(a))
             for h, stop in zip(hashes, _stops(a, e, b)):
-                run = np.concatenate([[0.0], np.cumsum(self.weights[h, k], dtype=np.float64)])
+                run = np.concatenate([[0.0], np.cumsum(self.weights[k][h], dtype=np.float64)])
                 total += run[stop] - run[a]
                 count += stop - a
             score = total / np.sqrt(count)
@@ -200,7 +199,7 @@ def _learnt(hashes: list[np.ndarray], a: np.ndarray, e: np.ndarray, b: np.ndarra
 
 def fit(texts: list[str], sides: np.ndarray, labels: np.ndarray, hosts: np.ndarray, how: Fit = Fit(), planted_from: int | None = None) -> Linear:
     """Each kind against the others; every held_out-th host is kept for validation. Texts from planted_from on were made."""
-    model = Linear(np.zeros((BUCKETS, 2), np.float32), np.zeros((N_SIDE, 2), np.float32), np.full(2, -2.0, np.float32))
+    model = Linear(np.zeros((2, BUCKETS), np.float32), np.zeros((N_SIDE, 2), np.float32), np.full(2, -2.0, np.float32))
     if not len(texts) or not (labels > 0).any():
         return model
     unseen = hosts % how.held_out == 0
@@ -216,9 +215,9 @@ def fit(texts: list[str], sides: np.ndarray, labels: np.ndarray, hosts: np.ndarr
         # Of a sentence with a mark in it, the pieces that hold most of the mark.
         use = np.array([(m := span[t]) is None or min(b, starts[t] + 1 + m[1]) - max(a, starts[t] + m[0]) >= 0.6 * min(PIECE, m[1] - m[0]) for t, a, b in zip(text, first, last)], bool)
         text, first, last = text[use], first[use], last[use]
-        model.weights[:, 0], model.side[:, 0], model.bias[0] = _learnt(hashes, first, ends[text], last, x[text], kinds[text] == RESIDUE, spoken[text], made[text], how)
+        model.weights[0], model.side[:, 0], model.bias[0] = _learnt(hashes, first, ends[text], last, x[text], kinds[text] == RESIDUE, spoken[text], made[text], how)
     if (kinds == NOTICE).any():
-        model.weights[:, 1], model.side[:, 1], model.bias[1] = _learnt(hashes, starts, ends, ends, x, kinds == NOTICE, spoken, made, how)
+        model.weights[1], model.side[:, 1], model.bias[1] = _learnt(hashes, starts, ends, ends, x, kinds == NOTICE, spoken, made, how)
     if unseen.any():
         s = model.scores([t for t, u in zip(texts, unseen) if u], sides[unseen])
         said, truth = np.where(s.max(axis=1) > 0, s.argmax(axis=1) + 1, 0), labels[unseen]
@@ -299,7 +298,7 @@ def flagged(parsed: DataFrame, rule: Furniture) -> DataFrame:
     return parsed.join(hit, "page_id", "left").join(slots, "page_id", "left")
 
 
-BODIES = "page_id long, host string, failed boolean, words int, hidden string, said array<string>, rest array<int>, sides array<array<int>>"
+BODIES = "page_id long, host string, failed boolean, words int, hidden string, said array<string>, rest array<int>, sides array<int>"
 
 
 def read_bodies(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
@@ -342,7 +341,7 @@ def read_bodies(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
                             sides.append(side_features(x, False, words, False, 0, outcome))
                 out.append((total, hidden if not total else "", said, rest, sides))
             cols = list(zip(*out)) or [()] * 5
-            kinds_ = (pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
+            kinds_ = (pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
             made = [pa.array(c, k) for c, k in zip(cols, kinds_)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["page_id", "host", "failed", "words", "hidden", "said", "rest", "sides"])
 
@@ -374,17 +373,17 @@ def labelled(bodies: DataFrame, how: Fit = Fit()) -> DataFrame:
                 place = sum(map(ord, host or ""))
                 for x, s in zip(said, sides):
                     label = weak_label(x)
-                    told = label != PROPER or EXPLAINED.search(x) or SIDE["heading"][0] in s
+                    told = label != PROPER or EXPLAINED.search(x) or s >> HEADING & 1
                     if not told and ((failed and words < 60) or not words):
                         label = NOTICE
-                    elif not told and SIDE["spread"][0] in s:
-                        label = NOTICE if SIDE["rest"][0] in s else RESIDUE
+                    elif not told and s >> SPREAD & 1:
+                        label = NOTICE if s >> REST & 1 else RESIDUE
                     out.append((x, s, label, place))
             cols = list(zip(*out)) or [(), (), (), ()]
-            kinds = (pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32())
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sentence", "sides", "label", "host"])
 
-    return taken.mapInArrow(run, "sentence string, sides array<int>, label int, host int")
+    return taken.mapInArrow(run, "sentence string, sides int, label int, host int")
 
 
 def planted(texts: list[str], labels: np.ndarray, how: Fit) -> list[tuple[int, str]]:
@@ -422,7 +421,7 @@ def trained(bodies: DataFrame, how: Fit = Fit()) -> Linear:
     kept = rows.where("label > 0").orderBy(turn).limit(how.sample_sentences)
     kept = kept.unionByName(rows.where("label = 0").orderBy(turn).limit(how.sample_sentences)).toArrow()
     texts, labels, hosts = kept.column(0).to_pylist(), kept.column(2).to_numpy(), kept.column(3).to_numpy()
-    sides = _sides(kept.column(1).to_pylist())
+    sides = _sides(kept.column(1).to_numpy())
     more = [(i, t) for i, t in planted(texts, labels, how) if not EXPLAINED.search(t) and hosts[i] % how.held_out]
     labels = spoken_for(texts, labels)
     n = len(texts)
@@ -433,7 +432,7 @@ def trained(bodies: DataFrame, how: Fit = Fit()) -> Linear:
     return fit(texts, sides, labels, hosts, how, n)
 
 
-def judged(pages: list[tuple[int, str, list[str], list[int], list[list[int]]]], model: Linear, how: Fit = Fit()) -> list[str | None]:
+def judged(pages: list[tuple[int, str, list[str], list[int], list[int]]], model: Linear, how: Fit = Fit()) -> list[str | None]:
     """For each page (words, hidden, sentences, their words, their features): residue, notice or None."""
     flat = [x for p in pages for x in p[2]]
     scores = model.scores(flat, _sides([s for p in pages for s in p[4]]))
