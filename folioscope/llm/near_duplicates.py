@@ -3,8 +3,8 @@
 One-permutation hashing gives each set of word shingles a signature in one pass; empty bins are filled by
 optimal densification. Bands of signature rows make buckets. Any two members of a bucket are compared on the
 shingle sets themselves; of the members of large buckets, any two whose rarest shingles leave room for the
-threshold. Verified links are closed over their common neighbours, so members of one family that never shared
-a bucket are compared as well.
+threshold. Those that have a link are compared once more by their rarest shingles, so members of one family that
+never shared a bucket are found as well.
 
 Equal texts are one class from the start: a class is sketched and compared once, however
 many copies it has. Buckets that hold a large part of all classes are found on a sample and never made into
@@ -50,7 +50,7 @@ class Sketch:
 
 
 #: The documents' own near-copy definition: three words, half of all shingles.
-CHUNK_COPIES = Sketch(shingle=3, threshold=0.5, min_words=40, bands=44, rows=4)
+CHUNK_COPIES = Sketch(shingle=3, threshold=0.5, min_words=40, bands=64, rows=4)
 
 
 def _shingles(said: Column, n: int) -> Column:
@@ -180,14 +180,18 @@ def verified(links: DataFrame, classes: DataFrame, threshold: float) -> DataFram
 
 
 def class_links(classes: DataFrame, sketch: Sketch) -> DataFrame:
-    """Every verified link a < b between different classes."""
+    """Every verified link a < b between different classes.
+
+    Members of one family that never shared a bucket are found among the classes that have a link, by their rarest
+    shingles: no class is paired with another because both are linked to a third, so a centre of many links makes no
+    more pairs than its neighbours have in common text.
+    """
     candidates = small_or_shuffled(stage(candidate_links(classes, sketch), "candidates"))
     tried = stage(verified(candidates, classes, sketch.threshold), "tried")
-    ends = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    x, y = ends.alias("x"), ends.alias("y")
-    around = x.join(y, F.col("x.a") == F.col("y.a")).where("x.b < y.b").select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
-    fresh = around.distinct().join(tried, ["a", "b"], "left_anti")
-    return tried.unionByName(verified(fresh, classes, sketch.threshold))
+    ends = tried.select(F.col("a").alias("cid")).unionByName(tried.select(F.col("b").alias("cid"))).distinct()
+    linked = stage(classes.join(ends, "cid", "left_semi"), "linked")
+    fresh = prefix_links(linked, sketch).distinct().join(tried, ["a", "b"], "left_anti")
+    return tried.unionByName(verified(small_or_shuffled(stage(fresh, "fresh")), classes, sketch.threshold))
 
 
 def _linked(chunks: DataFrame, sketch: Sketch) -> tuple[DataFrame, DataFrame]:
