@@ -50,7 +50,7 @@ class Sketch:
 
 
 #: The documents' own near-copy definition: three words, half of all shingles.
-CHUNK_COPIES = Sketch(shingle=3, threshold=0.5, min_words=40, bands=64, rows=4)
+CHUNK_COPIES = Sketch(shingle=3, threshold=0.5, min_words=40, bands=48, rows=4)
 
 
 def _shingles(said: Column, n: int) -> Column:
@@ -118,6 +118,8 @@ def _band_keys(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iter
         for r in range(rows):
             key = (key ^ sig[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(31)
+        # 44 bits are shuffled cheaper than 64; buckets that meet by chance only add candidates.
+        key >>= np.uint64(20)
         cid = np.repeat(batch.column(0).to_numpy(), bands)
         yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(cid)], names=["bucket", "cid"])
 
