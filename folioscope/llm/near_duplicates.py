@@ -158,11 +158,12 @@ def prefix_links(crowd: DataFrame, sketch: Sketch) -> DataFrame:
     """
     t = sketch.threshold
     grams = crowd.select("cid", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("held"))
-    order = Window.partitionBy("cid").orderBy("held", "gram")
-    placed = grams.join(often, "gram").withColumn("pos", F.row_number().over(order))
-    # A shingle of one text alone takes a place but meets nothing.
-    placed = stage(placed.where((F.col("held") > 1) & (F.col("pos") <= F.col("n") * (1 - t) + 1 + 1e-6)), "prefixes")
+    # A shingle of one text alone takes a place, before all others, but meets nothing.
+    often = grams.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
+    mine = Window.partitionBy("cid")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("held", "gram"))
+    placed = grams.join(often, "gram").withColumn("pos", place)
+    placed = stage(placed.where(F.col("pos") <= F.col("n") * (1 - t) + 1 + 1e-6), "prefixes")
     spread = F.when(F.col("held") > sketch.hot_rows / sketch.salts, F.lit(sketch.salts)).otherwise(F.lit(1))
     y = placed.select("gram", F.pmod("cid", spread).alias("salt"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
     x = placed.where(F.col("pos") <= F.col("n") * (1 - 2 * t / (1 + t)) + 1 + 1e-6)
