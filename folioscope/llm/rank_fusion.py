@@ -17,7 +17,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.sources.staging import stage
+from folioscope.sources.staging import small_or_shuffled, stage
 
 #: name of the signal, and whether its larger values are the better ones
 SIGNALS = (("lexical_score", True), ("vector_score", True), ("graph_rank", False))
@@ -83,26 +83,61 @@ def _ranged_ranks(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows
 
 
-def fused_scores(candidates: DataFrame, signals: tuple = SIGNALS, hot_query: int = HOT_QUERY) -> DataFrame:
-    """query_id, chunk_id, the normalised rank of each signal, significance and mean_rank."""
-    names = [s for s, _ in signals]
-    rows = latest_candidates(candidates, signals)
-    hot = [r[0] for r in candidates.groupBy("query_id").count().where(F.col("count") > hot_query).select("query_id").limit(1).collect()]
-    if not hot:
-        ranked = _window_ranks(rows, names)
-    else:
-        ranked = _ranged_ranks(stage(rows, "candidates"), names)
+def _is_hot(candidates: DataFrame, hot_query: int) -> DataFrame:
+    """query_id of the queries with more candidates than hot_query: at most (all candidates) / hot_query rows."""
+    return candidates.where("query_id is not null").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") > hot_query).select("query_id")
+
+
+def _scored(ranked: DataFrame, names: list[str]) -> DataFrame:
     ranks = [F.col(f"r_{s}") for s in names]
     return ranked.select(
         "query_id", "chunk_id", *ranks, significance(ranks).alias("significance"), (sum(ranks[1:], ranks[0]) / len(ranks)).alias("mean_rank")
     )
 
 
+def fused_parts(candidates: DataFrame, signals: tuple = SIGNALS, hot_query: int = HOT_QUERY) -> tuple[DataFrame, DataFrame | None]:
+    """query_id, chunk_id, the normalised rank of each signal, significance and mean_rank of the candidates of ordinary
+    queries and of hot ones (None if there are none). Only hot queries take the way over range partitions."""
+    names = [s for s, _ in signals]
+    rows = latest_candidates(candidates, signals)
+    hot = stage(_is_hot(candidates, hot_query), "hot")
+    if not hot.limit(1).count():
+        return _scored(_window_ranks(rows, names), names), None
+    rows = stage(rows, "candidates")
+    hot = small_or_shuffled(hot)
+    cold = _window_ranks(rows.join(hot, "query_id", "left_anti"), names)
+    return _scored(cold, names), _scored(_ranged_ranks(rows.join(hot, "query_id", "left_semi"), names), names)
+
+
+def fused_scores(candidates: DataFrame, signals: tuple = SIGNALS, hot_query: int = HOT_QUERY) -> DataFrame:
+    cold, hot = fused_parts(candidates, signals, hot_query)
+    return cold if hot is None else cold.unionByName(hot)
+
+
+ORDER = ("rounded", "mean", "chunk_id")
+
+
+def _placed(scores: DataFrame) -> DataFrame:
+    return scores.select("query_id", "chunk_id", F.round("significance", 12).alias("rounded"), F.round("mean_rank", 12).alias("mean"))
+
+
+def _hot_places(scores: DataFrame) -> DataFrame:
+    """query_id, chunk_id, position of hot queries: sorted over range partitions, each of which starts from the
+    number of candidates in those before it."""
+    ranged = stage(_placed(scores).repartitionByRange("query_id", *ORDER).withColumn("part", F.spark_partition_id()), "places")
+    before = ranged.groupBy("query_id", "part").agg(F.count("*").alias("held"))
+    before = before.withColumn("ahead", F.sum("held").over(Window.partitionBy("query_id").orderBy("part")) - F.col("held"))
+    local = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*ORDER))
+    placed = ranged.withColumn("local", local).join(before.drop("held"), ["query_id", "part"])
+    return placed.select("query_id", "chunk_id", (F.col("ahead") + F.col("local")).alias("position"))
+
+
 def fused_ranking(candidates: DataFrame, queries: DataFrame, signals: tuple = SIGNALS, hot_query: int = HOT_QUERY) -> DataFrame:
     """query_id, chunk_id, position: the first `wanted` candidates of each query; none where wanted is null."""
-    order = Window.partitionBy("query_id").orderBy(
-        F.round("significance", 12), F.round("mean_rank", 12), "chunk_id"
-    )
     wanted = queries.where("query_id is not null").groupBy("query_id").agg(F.max("wanted").alias("wanted"))
-    placed = fused_scores(candidates, signals, hot_query).withColumn("position", F.row_number().over(order))
+    cold, hot = fused_parts(candidates, signals, hot_query)
+    order = Window.partitionBy("query_id").orderBy(*ORDER)
+    placed = _placed(cold).select("query_id", "chunk_id", F.row_number().over(order).alias("position"))
+    if hot is not None:
+        placed = placed.unionByName(_hot_places(hot).withColumn("position", F.col("position").cast("int")))
     return placed.join(wanted, "query_id").where("position <= wanted").select("query_id", "chunk_id", "position")
