@@ -22,7 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.tokens import TOKENIZER, token_sizes
@@ -69,16 +69,17 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
     return np.array(p)
 
 
-def landing(p: np.ndarray, tokens: np.ndarray, want: float, free: np.ndarray, swaps: int = 64) -> np.ndarray:
+def landing(p: np.ndarray, tokens: np.ndarray, want: float, free: np.ndarray) -> np.ndarray:
     """The last undecided documents, rounded to come closest to the tokens wanted; what is still missing or too
-    much is made up by single documents among the free ones, each time the one of the fittest length."""
+    much is made up by single documents among the free ones, each time the one of the fittest length, until none
+    brings the tokens closer."""
     open_ = np.nonzero((p > 0) & (p < 1))[0]
     out = p.copy()
     if len(open_):
         rest = want - float(np.delete(p, open_) @ np.delete(tokens, open_))
         ends = sorted(itertools.product((0.0, 1.0), repeat=len(open_)), key=lambda e: (abs(np.dot(e, tokens[open_]) - rest), e))
         out[open_] = ends[0]
-    for _ in range(swaps):
+    while True:
         over = float(out @ tokens) - want
         at = np.nonzero(free & (out == (1.0 if over > 0 else 0.0)))[0]
         if not len(at):
@@ -158,6 +159,6 @@ def mix_report(selection: DataFrame, targets: DataFrame) -> DataFrame:
         F.count("*").alias("documents"), F.sum("uses").alias("uses"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens"), F.max("uses").alias("most_uses")
     )
     rows = _targets(targets).join(used, "mix_source", "left").na.fill(0, ["documents", "uses", "tokens", "most_uses"])
-    whole = selection.agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("all_tokens"))
-    share = F.coalesce(F.try_divide("tokens", "all_tokens"), F.lit(0.0))
-    return rows.join(F.broadcast(whole)).withColumn("share", share).drop("all_tokens")
+    # One row for each target.
+    share = F.coalesce(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy())), F.lit(0.0))
+    return rows.withColumn("share", share)

@@ -27,83 +27,112 @@ from folioscope.sources.staging import stage
 
 Pattern = tuple[tuple[int, int], ...]
 
-#: Numbers of one size that meet the patterns together, and parts in which one size is numbered.
-BLOCK, SALTS = 256, 64
-
-
-def _largest(sizes: list[int], left: dict[int, int], most: int, used: Counter) -> int | None:
-    """The largest size up to most of which an item is left beyond those used."""
-    at = bisect_left(sizes, most + 1) - 1
-    while at >= 0 and left[sizes[at]] - used[sizes[at]] <= 0:
-        at -= 1
-    return sizes[at] if at >= 0 else None
-
-
-def _smallest(sizes: list[int], left: dict[int, int], n: int, used: Counter, above: int = 0) -> list[int]:
-    found: list[int] = []
-    for s in sizes[bisect_left(sizes, above + 1) :]:
-        found += [s] * min(n - len(found), max(0, left[s] - used[s]))
-        if len(found) >= n:
-            break
-    return found
-
-
-def _best_pair(sizes: list[int], left: dict[int, int], most: int, used: Counter) -> int:
-    """The largest sum of two items up to most, or 0."""
-    have = [s for s in sizes if left[s] - used[s] > 0 and s < most]
-    lo, hi, best = 0, len(have) - 1, 0
-    while lo <= hi:
-        total = have[lo] + have[hi]
-        if total > most:
-            hi -= 1
-        elif lo == hi:
-            if left[have[lo]] - used[have[lo]] >= 2:
-                best = max(best, total)
-            break
-        else:
-            best = max(best, total)
-            if left[have[lo]] - used[have[lo]] >= 2:
-                best = max(best, 2 * have[lo])
-            lo += 1
-    return best
-
-
-def _dominating(size: int, sizes: list[int], left: dict[int, int], capacity: int) -> list[int] | None:
+#: Numbers of one size that meet the patterns together, and items of one size that are numbered in one task.
+BLOCK, NUMBERED = 256, 200_000
+#: Kinds of containers that one packing may ask for.
+MOST_KINDS = 10_000
+
+
+class _Stock:
+    """The sizes that items are left of, sorted, and as bits of a number and of its mirror image."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.left = {s: n for s, n in counts.items() if n > 0}
+        self.sizes = sorted(self.left)
+        self.top = self.sizes[-1] if self.sizes else 0
+        self.bits = sum(1 << s for s in self.sizes)
+        self.mirror = sum(1 << self.top - s for s in self.sizes)
+
+    def take(self, size: int, n: int) -> None:
+        self.left[size] -= n
+        if not self.left[size]:
+            del self.sizes[bisect_left(self.sizes, size)]
+            self.bits ^= 1 << size
+            self.mirror ^= 1 << self.top - size
+
+    def largest(self, most: int, used: Counter) -> int | None:
+        """The largest size up to most of which an item is left beyond those used."""
+        at = bisect_left(self.sizes, most + 1) - 1
+        while at >= 0 and self.left[self.sizes[at]] <= used[self.sizes[at]]:
+            at -= 1
+        return self.sizes[at] if at >= 0 else None
+
+    def smallest(self, n: int, used: Counter, above: int = 0) -> list[int]:
+        found: list[int] = []
+        at = bisect_left(self.sizes, above + 1)
+        while len(found) < n and at < len(self.sizes):
+            s = self.sizes[at]
+            found += [s] * min(n - len(found), max(0, self.left[s] - used[s]))
+            at += 1
+        return found
+
+    def has_pair(self, more_than: int, most: int, used: Counter) -> bool:
+        """Whether two items left beyond those used sum to more than the one and at most the other.
+
+        For each sum, one comparison of the bits with the mirror image; for many sums and few sizes, two pointers.
+        """
+        if most - more_than <= len(self.sizes):
+            gone = [s for s, n in used.items() if s in self.left and 0 < self.left[s] <= n]
+            bits, mirror = self.bits, self.mirror
+            for s in gone:
+                bits ^= 1 << s
+                mirror ^= 1 << self.top - s
+            for total in range(more_than + 1, most + 1):
+                met = bits & (mirror >> self.top - total if total <= self.top else mirror << total - self.top)
+                half = total // 2
+                if met and total % 2 == 0 and self.left.get(half, 0) - used[half] < 2:
+                    met &= ~(1 << half)
+                if met:
+                    return True
+            return False
+        lo, hi = 0, bisect_left(self.sizes, most) - 1
+        while lo <= hi:
+            a, b = self.sizes[lo], self.sizes[hi]
+            if self.left[a] <= used[a]:
+                lo += 1
+            elif self.left[b] <= used[b] or a + b > most:
+                hi -= 1
+            elif a + b > more_than and (lo < hi or self.left[a] - used[a] >= 2):
+                return True
+            else:
+                lo += 1
+        return False
+
+
+def _dominating(size: int, stock: _Stock, capacity: int) -> list[int] | None:
     """Items to join one of this size so that no other set with it can be better; None if unknown."""
     used, room = Counter([size]), capacity - size
-    first = _largest(sizes, left, room, used)
+    first = stock.largest(room, used)
     if first is None:
         return []
     if first == room:
         return [first]
-    three = _smallest(sizes, left, 3, used)
+    three = stock.smallest(3, used)
     if len(three) == 3 and sum(three) <= room:
         return None
-    if _best_pair(sizes, left, room, used) <= first:
+    if not stock.has_pair(first, room, used):
         return [first]
     used[first] += 1
-    second = _largest(sizes, left, room - first, used)
+    second = stock.largest(room - first, used)
     if second is None:
         return None
-    above = _smallest(sizes, left, 2, Counter([size]), above=second)
+    above = stock.smallest(2, Counter([size]), above=second)
     return [first, second] if len(above) < 2 or sum(above) > room else None
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[Pattern, int]], dict[int, int]]:
     """Fixed (pattern, how many containers), and the counts that are left."""
-    left = {s: n for s, n in counts.items() if n > 0}
+    stock = _Stock(counts)
     fixed: list[tuple[Pattern, int]] = []
-    sizes = sorted(left)
-    for size in sorted(left, reverse=True):
-        while left[size] > 0 and (others := _dominating(size, sizes, left, capacity)) is not None:
+    for size in sorted(stock.left, reverse=True):
+        while stock.left[size] > 0 and (others := _dominating(size, stock, capacity)) is not None:
             need = Counter([size, *others])
-            times = min(left[s] // k for s, k in need.items())
+            times = min(stock.left[s] // k for s, k in need.items())
             # What is left afterwards fits no better, so the set stays the best one until its items run out.
             for s, k in need.items():
-                left[s] -= k * times
+                stock.take(s, k * times)
             fixed.append((tuple(sorted(need.items())), times))
-            sizes = [s for s in sizes if left[s] > 0]
-    return fixed, {s: n for s, n in left.items() if n > 0}
+    return fixed, {s: n for s, n in stock.left.items() if n > 0}
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -157,16 +186,23 @@ def _slots(container_id: int, patterns: list[tuple[Pattern, int]]) -> list[tuple
     return rows
 
 
-def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
+def capacities(containers: DataFrame) -> dict[int, int]:
+    """The containers' capacities: a short list that the user wrote."""
+    fit = containers.where("container_id is not null and capacity_tokens > 0").select("container_id", "capacity_tokens").limit(MOST_KINDS + 1).collect()
+    if len(fit) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    return {r[0]: r[1] for r in fit}
+
+
+def pieces(sizes: DataFrame, capacity: dict[int, int]) -> DataFrame:
     """container_id, doc_id, piece_no, token_start, n_tokens of every item to be packed."""
-    fit = containers.where("container_id is not null and capacity_tokens > 0").select("container_id", "capacity_tokens")
-    # A handful of rows: one for each kind of container.
-    every = sizes.where("n_tokens > 0").join(F.broadcast(fit))
-    n = F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).cast("int")
+    kinds = F.array(*[F.struct(F.lit(c).cast("int").alias("id"), F.lit(n).cast("long").alias("most")) for c, n in sorted(capacity.items())])
+    every = sizes.where("n_tokens > 0").withColumn("c", F.explode(kinds if capacity else F.array().cast("array<struct<id:int,most:bigint>>")))
+    n = F.ceil(F.col("n_tokens") / F.col("c.most")).cast("int")
     cut = every.withColumn("piece_no", F.explode(F.sequence(F.lit(0), n - 1)))
-    start = F.col("piece_no") * F.col("capacity_tokens")
+    start = F.col("piece_no") * F.col("c.most")
     return cut.select(
-        "container_id", "doc_id", "piece_no", start.alias("token_start"), F.least("capacity_tokens", F.col("n_tokens") - start).alias("n_tokens")
+        F.col("c.id").alias("container_id"), "doc_id", "piece_no", start.alias("token_start"), F.least("c.most", F.col("n_tokens") - start).alias("n_tokens")
     )
 
 
@@ -174,12 +210,14 @@ def packed(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZ
     """container_id, bin_no, doc_id, piece_no, token_start, n_tokens."""
     spark = documents.sparkSession
     sizes = token_sizes(documents, tokenizer=tokenizer)
-    items = pieces(sizes, containers)
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    counted = stage(salted.groupBy("container_id", "n_tokens", "salt").agg(F.count("*").alias("n")), "counted")
+    capacity = capacities(containers)
+    items = pieces(sizes, capacity)
     # At most as many rows as the capacities sum to.
-    histogram = counted.groupBy("container_id", "n_tokens").agg(F.sum("n").alias("n")).collect()
-    capacity = {r[0]: r[1] for r in containers.where("container_id is not null and capacity_tokens > 0").select("container_id", "capacity_tokens").collect()}
+    histogram = items.groupBy("container_id", "n_tokens").agg(F.count("*").alias("n")).collect()
+    # A size is numbered in so many parts that none is too long for a task.
+    salts = max(1, -(-max((r["n"] for r in histogram), default=0) // NUMBERED))
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    counted = stage(salted.groupBy("container_id", "n_tokens", "salt").agg(F.count("*").alias("n")), "counted")
     slots = []
     for cid, most in sorted(capacity.items()):
         slots += _slots(cid, packed_patterns({r["n_tokens"]: r["n"] for r in histogram if r["container_id"] == cid}, most))
