@@ -1,7 +1,6 @@
 """The k most similar vectors of every vector: an inverted file with product-quantised residuals.
 
-Coarse centroids and codebooks are fitted on a bounded sample (Index.sample unit vectors of a space); every
-vector is indexed. A vector is compared with the members of its Index.probes nearest cells by asymmetric
+Coarse centroids and codebooks are fitted on a bounded sample (see Index); every vector is indexed. A vector is compared with the members of its nearest cells by asymmetric
 distance tables on their codes; the Index.rerank best of each cell and block are compared exactly, and the
 best k over all cells stay. Cells are cut into blocks of bounded size on the side of the members and of
 the vectors asking, so a cell that holds a third of all rows is worked on by many tasks.
@@ -24,18 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.sources.staging import stage
+from folioscope.sources.staging import small_or_shuffled, stage
 
 
 @dataclass(frozen=True)
 class Index:
+    """sample: unit vectors of a space that the top cells (at most top_cells) and codebooks are fitted on; fit_rows: how
+    many of a cell's own vectors one task cuts it by, where there shall be more cells. All vectors are indexed. A vector
+    probes its nearest cells: probes at least (more where they hold fewer than least_members), most_probes at most, and those whose centroid is farther than the first by
+    at most slack mean square distances."""
+
     sample: int = 20_000
     rounds: int = 8
     cells_per_root: float = 4.0
-    max_cells: int = 16_384
+    top_cells: int = 4_096
+    fit_rows: int = 8_192
     parts: int = 16
     codes: int = 256
-    probes: int = 16
+    probes: int = 6
+    least_members: int = 128
+    most_probes: int = 48
+    slack: float = 0.5
     rerank: int = 24
     member_block: int = 4_096
     asker_block: int = 4_096
@@ -96,34 +104,90 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return c
 
 
-def fit(units: DataFrame, index: Index) -> dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each space and dimension: centroids, codebooks and the bounds of the parts, from a bounded sample."""
+def fit(units: DataFrame, index: Index) -> dict[tuple[str | None, int], tuple]:
+    """Of each space and dimension: centroids, codebooks, the bounds of the parts, the mean square distance from a
+    vector to its centroid and the mean number of members of a cell, from a bounded sample.
+
+    The number of cells grows with the root of the number of vectors. Where that is more than the sample can tell
+    apart, every cell of the sample is cut further by vectors of its own, on the cluster.
+    """
     sizes = units.groupBy("space_id", "dim").agg(F.count("*").alias("n")).collect()
     models = {}
     rng = np.random.default_rng(index.seed)
     for row in sizes:
         share = 4.0 * index.sample / row["n"]
         here = units.where(F.col("space_id").eqNullSafe(F.lit(row["space_id"])) & (F.col("dim") == row["dim"]))
-        if share < 1:
-            here = here.where(F.pmod(F.xxhash64("did"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
-        taken = here.orderBy(F.xxhash64("did", F.lit(index.seed))).select("unit").limit(index.sample).toArrow().column(0).to_pylist()
+        part = here.where(F.pmod(F.xxhash64("did"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)) if share < 1 else here
+        taken = part.orderBy(F.xxhash64("did", F.lit(index.seed))).select("unit").limit(index.sample).toArrow().column(0).to_pylist()
         x = np.frombuffer(b"".join(taken)).reshape(len(taken), row["dim"]).astype(np.float32)
-        cells = int(min(index.max_cells, max(1, index.cells_per_root * row["n"] ** 0.5), max(1, len(x) // 4)))
-        c = _kmeans(x, cells, index.rounds, rng)
+        wanted = max(1, int(index.cells_per_root * row["n"] ** 0.5))
+        c = _kmeans(x, min(wanted, max(1, len(x) // 4), index.top_cells), index.rounds, rng)
+        if wanted > len(c) and row["n"] > len(x):
+            c = _cut_further(here, c, wanted, row["n"], row["dim"], index)
         rest = x - c[np.argmax(x @ c.T - (c * c).sum(1) / 2, axis=1)]
         parts = min(index.parts, row["dim"])
         bounds = np.linspace(0, row["dim"], parts + 1).astype(int)
         books = [_kmeans(rest[:, a:b], index.codes, index.rounds, rng) for a, b in zip(bounds, bounds[1:])]
-        models[(row["space_id"], row["dim"])] = (c, books, bounds)
+        models[(row["space_id"], row["dim"])] = (c, books, bounds, float((rest * rest).sum(1).mean()) if len(rest) else 0.0, row["n"] / len(c))
     return models
 
 
+def _cut_further(here: DataFrame, top: np.ndarray, wanted: int, n: int, dim: int, index: Index) -> np.ndarray:
+    """About `wanted` centroids: those of each top cell, as many as its share of vectors asks for, fitted on some 16 of
+    its own vectors for each. Only the centroids come to the driver."""
+    shared = here.sparkSession.sparkContext.broadcast(top)
+    share = min(1.0, 16.0 * wanted / n)
+    own = here.where(F.pmod(F.xxhash64("did", F.lit(7)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).select("unit", "did")
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0), np.arange(batch.num_rows), dim).astype(np.float32)
+                cell = _nearest(x, shared.value, 1)[:, 0].astype(np.int32)
+                # A cell with many vectors is fitted in several parts; each gives its share of centroids.
+                yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(1), batch.column(0)], names=["cell", "did", "unit"])
+
+    placed = stage(own.mapInArrow(place, "cell int, did long, unit binary"), "placed")
+    counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    most = index.fit_rows
+    parts = F.create_map(*[F.lit(v) for cell, held in counts.items() for v in (cell, -(-held // most))])
+    split = placed.withColumn("part", F.pmod(F.xxhash64("did", F.lit(8)), F.coalesce(F.try_element_at(parts, "cell"), F.lit(1))).cast("int"))
+
+    def cut(table: pa.Table) -> pa.Table:
+        cell = table.column("cell")[0].as_py()
+        x = _matrix(table.column("unit").combine_chunks(), np.arange(table.num_rows), dim).astype(np.float32)
+        k = max(1, round(wanted * table.num_rows / total))
+        c = _kmeans(x, min(k, max(1, len(x) // 4)), index.rounds, np.random.default_rng([index.seed, cell]))
+        return pa.table([pa.array([r.tobytes() for r in c], pa.binary())], names=["center"])
+
+    found = split.groupBy("cell", "part").applyInArrow(cut, "center binary").toArrow().column(0).to_pylist()
+    return np.frombuffer(b"".join(found), np.float32).reshape(len(found), dim)
+
+
 def _nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     score = x @ c.T - (c * c).sum(1) / 2
     n = min(n, score.shape[1])
     return np.argpartition(-score, n - 1, axis=1)[:, :n] if n < score.shape[1] else np.argsort(-score, axis=1)
 
 
+def _probes(x: np.ndarray, c: np.ndarray, spread: float, least: int, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Which row probes which cell: its nearest ones, as many as are hardly farther than the first; more where
+    centroids lie close together, as in a dense cluster, than where they lie apart."""
+    rows, cells = [], []
+    for start in range(0, len(x), 1024):
+        part = x[start : start + 1024]
+        near = _nearest(part, c, max(least, index.most_probes))
+        far = (c * c).sum(1)[near] - 2 * np.einsum("qd,qnd->qn", part, c[near])
+        order = np.argsort(far, axis=1)
+        near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+        keep = (far <= far[:, :1] + index.slack * spread) | (np.arange(far.shape[1]) < least)
+        r, k = np.nonzero(keep)
+        rows.append(r + start)
+        cells.append(near[r, k])
+    return np.concatenate(rows), np.concatenate(cells)
+
+
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
     names = batch.column(0).to_pylist()
     dims = batch.column(1).to_pylist()
@@ -145,7 +209,7 @@ def assigned(units: DataFrame, models, index: Index) -> tuple[DataFrame, DataFra
     def encode(batches):
         for batch in batches:
             for key, at in _groups(batch):
-                c, books, bounds = shared.value[key]
+                c, books, bounds, *_ = shared.value[key]
                 x = _matrix(batch.column(2), at, key[1])
                 cell = _nearest(x.astype(np.float32), c, 1)[:, 0]
                 rest = x.astype(np.float32) - c[cell]
@@ -160,11 +224,12 @@ def assigned(units: DataFrame, models, index: Index) -> tuple[DataFrame, DataFra
     def probe(batches):
         for batch in batches:
             for key, at in _groups(batch):
-                c = shared.value[key][0]
-                cells = _nearest(_matrix(batch.column(2), at, key[1]).astype(np.float32), c, index.probes)
-                take = pa.array(np.repeat(at, cells.shape[1]))
+                c, _, _, spread, held = shared.value[key]
+                least = max(index.probes, int(np.ceil(index.least_members / held)))
+                row, cells = _probes(_matrix(batch.column(2), at, key[1]).astype(np.float32), c, spread, least, index)
+                take = pa.array(at[row])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(cells.reshape(-1).astype(np.int32)),
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(cells.astype(np.int32)),
                      batch.column(3).take(take), batch.column(2).take(take)],
                     names=["space_id", "dim", "cell", "did", "unit"],
                 )
@@ -177,7 +242,7 @@ def assigned(units: DataFrame, models, index: Index) -> tuple[DataFrame, DataFra
 
 def _blocked(rows: DataFrame, counts: DataFrame, mine: str, others: str, at: str, other_at: str, salt: int) -> DataFrame:
     """Rows with their own block of the cell, repeated for each block of the other side."""
-    joined = rows.join(F.broadcast(counts), ["space_id", "dim", "cell"])
+    joined = rows.join(counts, ["space_id", "dim", "cell"])
     own = F.pmod(F.xxhash64("did", F.lit(salt)), F.col(mine)).cast("int")
     return joined.withColumn(at, own).withColumn(other_at, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop(mine, others)
 
@@ -188,7 +253,7 @@ def _search_block(models, index: Index, keep: int):
         if not asking.num_rows or not held.num_rows:
             return schema.empty_table()
         space, dim, cell = key[0].as_py(), key[1].as_py(), key[2].as_py()
-        c, books, bounds = models.value[(space, dim)]
+        c, books, bounds, *_ = models.value[(space, dim)]
         read = lambda t, n, kind=np.float64: np.frombuffer(b"".join(t.column(n).to_pylist()), kind).reshape(t.num_rows, -1)
         q, m, codes = read(asking, "unit"), read(held, "unit"), read(held, "codes", np.uint8)
         q_id, m_id = asking.column("did").to_numpy(), held.column("did").to_numpy()
@@ -230,9 +295,10 @@ def nearest_vectors(rows: DataFrame, k: int = 5, index: Index = Index()) -> Data
     members = stage(members, "cells")
     askers = stage(askers, "askers")
     cells = ["space_id", "dim", "cell"]
-    # At most max_cells rows for each space.
+    # One row for each cell.
     asked = askers.groupBy(*cells).agg(F.ceil(F.count("*") / index.asker_block).cast("int").alias("asker_blocks"))
     counts = members.groupBy(*cells).agg(F.ceil(F.count("*") / index.member_block).cast("int").alias("member_blocks")).join(asked, cells)
+    counts = small_or_shuffled(stage(counts, "blocks"))
     left = _blocked(askers, counts, "asker_blocks", "member_blocks", "a_block", "m_block", 1)
     right = _blocked(members, counts, "member_blocks", "asker_blocks", "m_block", "a_block", 2)
     by = [*cells, "a_block", "m_block"]

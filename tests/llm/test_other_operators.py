@@ -44,12 +44,39 @@ def test_neighbours_with_copies_ties_and_spaces(spark):
     got = {(r.embedding_a, r.embedding_b) for r in vn.neighbour_pairs(spark.createDataFrame(rows, EMB)).collect()}
     want = brute_neighbours(good, 5)
     assert len(got & want) / len(want) > 0.97 and len(got & want) / len(got) > 0.97
-    full = vn.Index(probes=10_000, rerank=10_000, member_block=64, asker_block=50)
+    full = vn.Index(probes=10_000, most_probes=10_000, rerank=10_000, member_block=64, asker_block=50)
     got = {(r.embedding_a, r.embedding_b) for r in vn.neighbour_pairs(spark.createDataFrame(rows, EMB), index=full).collect()}
     assert got == want
     assert vn.neighbour_pairs(spark.createDataFrame([], EMB)).count() == 0
 
 
+def neighbour_recall(spark, x, index):
+    n = len(x)
+    rows = spark.createDataFrame([emb(i, v) for i, v in enumerate(x.tolist())], EMB)
+    found = vn.nearest_vectors(rows, 5, index).select("embedding_id", "neighbour_id").toArrow()
+    got = set(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    right = 0
+    for start in range(0, n, 1000):
+        c = np.round(u[start : start + 1000] @ u.T, 9)
+        c[np.arange(len(c)), start + np.arange(len(c))] = -2
+        near = np.argpartition(-c, 5, axis=1)[:, :5]
+        right += sum((start + i, int(j)) in got for i in range(len(c)) for j in near[i])
+    return right / (5 * n)
+
+
+def test_recall_of_many_vectors(spark):
+    rng = np.random.default_rng(12)
+    centers = rng.normal(size=(400, 24))
+    x = centers[rng.integers(0, 400, 20_000)] + 0.4 * rng.normal(size=(20_000, 24))
+    assert neighbour_recall(spark, x, vn.Index()) >= 0.999
+    # The same with top cells of a small sample, cut further on the cluster.
+    assert neighbour_recall(spark, x, vn.Index(sample=2_000, top_cells=40, fit_rows=1_000)) >= 0.99
+    # A third of all in one dense cluster without any structure inside.
+    x[:6_000] = centers[0] + 0.05 * rng.normal(size=(6_000, 24))
+    assert neighbour_recall(spark, x, vn.Index()) >= 0.97
+
+
 CAND = "query_id long, chunk_id string, lexical_score double, vector_score double, graph_rank int, scored_at timestamp, significance double, position int"
 
 
