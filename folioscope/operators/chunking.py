@@ -99,8 +99,13 @@ def chunked(sections: DataFrame, target_chars: int = DEFAULT_TARGET_CHARS) -> Da
         F.when(F.length("prefix") > target_chars, "HeadingContext").when(F.size(mine) > 1, "ExampleGroup")
         .otherwise(F.initcap(F.get(F.transform(mine, lambda b: b["kind"]), 0)))
     )
+    # What the chunk says in code, with its section's own heading: where identifiers are looked for.
+    fields = {f.name for f in sections.schema["blocks"].dataType.elementType.fields}
+    inner = F.flatten(F.transform(mine, lambda b: F.coalesce(b["code"], F.array().cast("array<string>")))) if "code" in fields else F.array().cast("array<string>")
+    whole = F.transform(F.filter(mine, lambda b: b["kind"] == "code"), lambda b: F.coalesce(b["text"], F.lit("")))
+    cut = cut.withColumn("code", F.concat_ws("\n", "heading", F.array_join(whole, "\n"), F.array_join(inner, "\n")))
     return cut.withColumn("chunk_id", F.sha2(identity, 256)).select(
-        "chunk_id", "source_id", "document_url", "section_id", "heading_path", "anchor", "sequence", "block_start", "block_end", "text", "markdown",
+        "chunk_id", "source_id", "document_url", "section_id", "heading_path", "anchor", "sequence", "block_start", "block_end", "text", "markdown", "code",
         "content_sha256", "char_count", F.when(F.col("char_count") > target_chars, why).alias("oversized"),
     )
 

@@ -47,3 +47,35 @@ def passages(taken: DataFrame) -> DataFrame:
     return taken.groupBy("source_id", "document_url").agg(F.min("place").alias("first_place"), parts.alias("parts")).select(
         "source_id", "document_url", "first_place", F.col("parts.chunk_id").alias("chunk_ids"), F.array_join("parts.text", "\n\n").alias("text")
     )
+
+
+def verified(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (hit_no, chunk_id, content_sha256, ...) whose chunk still has that content, with its place."""
+    known = chunks.select("chunk_id", "content_sha256", "source_id", "document_url", "sequence")
+    return hits.select("hit_no", "chunk_id", "content_sha256").join(known, ["chunk_id", "content_sha256"])
+
+
+def report(hits: DataFrame, valid: DataFrame, around: DataFrame, taken: DataFrame) -> DataFrame:
+    """One row: skipped_stale_hits, deduplicated_chunks (wanted more than once), omitted_chunks, total_text_chars and
+    budget_exhausted: whether anything was left out or cut."""
+    counts = [
+        hits.agg(F.count("*").alias("asked"), F.lit(1).alias("one")), valid.agg(F.count_distinct("hit_no").alias("good"), F.lit(1).alias("one")),
+        around.agg(F.count("*").alias("wanted"), F.count_distinct("chunk_id").alias("distinct"), F.lit(1).alias("one")),
+        taken.agg(F.count("*").alias("held"), F.coalesce(F.sum("takes"), F.lit(0)).alias("total_text_chars"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("cut"), F.lit(1).alias("one")),
+    ]
+    row = counts[0]
+    for c in counts[1:]:
+        row = row.join(c, "one")
+    omitted = F.col("distinct") - F.col("held")
+    return row.select(
+        (F.col("asked") - F.col("good")).alias("skipped_stale_hits"), (F.col("wanted") - F.col("distinct")).alias("deduplicated_chunks"), omitted.alias("omitted_chunks"),
+        "total_text_chars", (F.col("cut") | (omitted > 0)).alias("budget_exhausted"),
+    )
+
+
+def with_matches(found: DataFrame, valid: DataFrame, taken: DataFrame) -> DataFrame:
+    """Passages with matches: the hits of their document, each with whether its own text was left out."""
+    shown = taken.select("chunk_id", F.lit(False).alias("text_omitted")).distinct()
+    each = valid.join(shown, "chunk_id", "left").withColumn("text_omitted", F.coalesce("text_omitted", F.lit(True)))
+    matches = each.groupBy("source_id", "document_url").agg(F.array_sort(F.collect_list(F.struct("hit_no", "chunk_id", "text_omitted"))).alias("matches"))
+    return found.join(matches, ["source_id", "document_url"], "left")

@@ -93,3 +93,25 @@ def next_pending(frontier: DataFrame, limit: int = 20) -> DataFrame:
 def latest_run(runs: DataFrame) -> DataFrame:
     order = Window.partitionBy("source_id").orderBy(F.desc("last_fetched"), F.desc("crawl_id"))
     return runs.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+
+
+def with_audit(pages: DataFrame, audit: DataFrame) -> DataFrame:
+    """Pages with what an audit row of the same requested_url (status, headers, raw_body) says instead, where it does."""
+    other = audit.select("source_id", "crawl_id", "requested_url", *[F.col(c).alias(f"audit_{c}") for c in ("status", "headers", "raw_body")])
+    joined = pages.join(other, ["source_id", "crawl_id", "requested_url"], "left")
+    for c in ("status", "headers", "raw_body"):
+        joined = joined.withColumn(c, F.coalesce(f"audit_{c}", c))
+    return joined.drop("audit_status", "audit_headers", "audit_raw_body")
+
+
+def robots_audit(frontier: DataFrame, capacity: int = 10_000) -> DataFrame:
+    """One row for each crawl: blocked (addresses that robots rules keep out) and audit_overflow, whether more than capacity."""
+    blocked = frontier.where("status = 'blocked' and reason = 'Robots'").groupBy("source_id", "crawl_id").agg(F.count("*").alias("blocked"))
+    return blocked.withColumn("audit_overflow", F.col("blocked") > capacity)
+
+
+def accumulated(batches: DataFrame) -> DataFrame:
+    """source_id, crawl_id and the running totals over the batches of a crawl (pages, bytes, first_fetched, delivered)."""
+    return batches.groupBy("source_id", "crawl_id").agg(
+        F.sum("pages").alias("pages"), F.sum("bytes").alias("bytes"), F.min("first_fetched").alias("first_fetched"), F.bool_and("delivered").alias("delivered")
+    )

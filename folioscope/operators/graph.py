@@ -24,7 +24,8 @@ def link_edges(links: DataFrame) -> DataFrame:
 
     Addresses are resolved against the page; the first link to a full address counts, up to MAX_LINKS a page.
     """
-    resolved = links.withColumn("url", joined_url("src_url", "href")).where(F.col("url").isNotNull() & (F.octet_length("url") <= MAX_URL_BYTES))
+    resolved = links.withColumn("url", joined_url("src_url", "href")).where(F.col("url").rlike(r"^https?://[^/@]+(?:[/?#]|$)"))
+    resolved = resolved.where(F.octet_length("url") <= MAX_URL_BYTES)
     page = Window.partitionBy("source_id", "src_url")
     first = resolved.withColumn("n", F.row_number().over(Window.partitionBy("source_id", "src_url", "url").orderBy("position"))).where("n = 1")
     capped = first.withColumn("n", F.row_number().over(page.orderBy("position"))).where(F.col("n") <= MAX_LINKS)
@@ -34,13 +35,72 @@ def link_edges(links: DataFrame) -> DataFrame:
     )
 
 
-def mention_edges(chunks: DataFrame, code: str = "text") -> DataFrame:
-    """chunk columns and symbol for each identifier of a chunk, up to MAX_MENTIONS a document."""
+def code_said(markdown: Column, heading: Column) -> Column:
+    """What a chunk says in code, inline or in blocks, and in its section's own heading; its prose is left out."""
+    fences = F.regexp_extract_all(markdown, F.lit(r"(?s)```+[^\n]*\n(.*?)\n?```"), F.lit(1))
+    spans = F.regexp_extract_all(F.regexp_replace(markdown, r"(?s)```+[^\n]*\n.*?```", " "), F.lit(r"`([^`\n]+)`"), F.lit(1))
+    return F.concat_ws("\n", heading, F.array_join(fences, "\n"), F.array_join(spans, "\n"))
+
+
+def mention_edges(chunks: DataFrame, code: str = "code") -> DataFrame:
+    """chunk columns and symbol for each identifier in a chunk's code and own heading, up to MAX_MENTIONS a document."""
     rows = chunks.select("source_id", "document_url", "chunk_id", "sequence", "content_sha256", F.explode(symbols(F.col(code))).alias("symbol"))
     order = Window.partitionBy("source_id", "document_url").orderBy("sequence", "chunk_id", "symbol")
     return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MAX_MENTIONS).drop("n")
 
 
+def graph_states(links: DataFrame, mentions: DataFrame, documents: DataFrame) -> DataFrame:
+    """source_id, document_url, graph_version, graph_truncated of documents whose edges were derived: truncated where a
+    limit was reached or an address was too long. links are those before resolution, mentions those kept."""
+    url = joined_url("src_url", "href")
+    per_page = links.withColumn("url", url).groupBy("source_id", F.col("src_url").alias("document_url")).agg(
+        ((F.count_distinct("url") > MAX_LINKS) | F.coalesce(F.bool_or(F.octet_length("url") > MAX_URL_BYTES), F.lit(False))).alias("links_cut")
+    )
+    said = mentions.groupBy("source_id", "document_url").agg((F.count("*") >= MAX_MENTIONS).alias("mentions_cut"))
+    keys = ["source_id", "document_url"]
+    joined = documents.select(*keys).join(per_page, keys, "left").join(said, keys, "left")
+    cut = F.coalesce("links_cut", F.lit(False)) | F.coalesce("mentions_cut", F.lit(False))
+    return joined.select(*keys, F.lit(GRAPH_VERSION).alias("graph_version"), cut.alias("graph_truncated"))
+
+
+def seed_states(seeds: DataFrame, chunks: DataFrame, documents: DataFrame, version: str = GRAPH_VERSION) -> DataFrame:
+    """The seeds (seed_no, chunk_id, content_sha256, source_id, document_url) with state: stale where the chunk is gone,
+    moved or changed or its document removed, unindexed where its edges are of another version, else ready."""
+    known = chunks.select("chunk_id", "content_sha256", "source_id", "document_url", F.lit(True).alias("current"))
+    docs = documents.select("source_id", "document_url", "graph_version", F.coalesce("graph_truncated", F.lit(False)).alias("index_truncated"),
+                            (F.coalesce("availability", F.lit("active")) != "removed").alias("present"))
+    joined = seeds.join(known, ["chunk_id", "content_sha256", "source_id", "document_url"], "left").join(docs, ["source_id", "document_url"], "left")
+    state = (
+        F.when(F.col("current").isNull() | ~F.coalesce("present", F.lit(False)), "stale")
+        .when(~F.col("graph_version").eqNullSafe(F.lit(version)), "unindexed").otherwise("ready")
+    )
+    return joined.withColumn("state", state).drop("current", "present", "graph_version")
+
+
+def present_edges(edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """The edges both of whose documents are known and not removed."""
+    live = documents.where(F.coalesce("availability", F.lit("active")) != "removed").select("source_id", "document_url")
+    kept = edges.join(live.withColumnRenamed("document_url", "src_url"), ["source_id", "src_url"], "left_semi")
+    return kept.join(live.withColumnRenamed("document_url", "dst_url"), ["source_id", "dst_url"], "left_semi")
+
+
+def expansion_report(states: DataFrame, expanded: DataFrame, hop: Hop | None = None) -> DataFrame:
+    """One row: seeds, skipped_stale_seeds, unindexed_seeds, truncated_seed_indexes, traversal_truncated,
+    candidates_truncated, candidates."""
+    hop = hop or Hop()
+    seeds = states.agg(
+        F.count("*").alias("seeds"), F.count_if(F.col("state") == "stale").alias("skipped_stale_seeds"), F.count_if(F.col("state") == "unindexed").alias("unindexed_seeds"),
+        F.count_if((F.col("state") == "ready") & F.coalesce("index_truncated", F.lit(False))).alias("truncated_seed_indexes"), F.lit(1).alias("one"),
+    )
+    found = expanded.agg(
+        F.coalesce(F.bool_or(F.col("edge_overflow") | F.col("overflow")), F.lit(False)).alias("traversal_truncated"), F.count_distinct("chunk_id").alias("reached"), F.lit(1).alias("one")
+    )
+    return seeds.join(found, "one").select(
+        "seeds", "skipped_stale_seeds", "unindexed_seeds", "truncated_seed_indexes", "traversal_truncated",
+        (F.col("reached") > hop.candidates).alias("candidates_truncated"), F.least("reached", F.lit(hop.candidates)).alias("candidates"),
+    )
+
+
 def document_links(edges: DataFrame, documents: DataFrame, source_id: str, url: str, incoming: bool = False, limit: int = 100) -> DataFrame:
     """Links of a document with whether their target is known, and one more than the limit to show that there are more."""
     here = edges.where((F.col("source_id") == source_id) & (F.col("dst_url" if incoming else "src_url") == url))
@@ -117,11 +177,11 @@ def expand(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, chunks: Data
 
 
 def interleaved(expanded: DataFrame, hop: Hop = Hop()) -> DataFrame:
-    """chunk_id, graph_rank and up to hop.paths of its paths: the first of every group, then the second, and so on."""
+    """chunk_id, graph_rank, up to hop.paths of its paths (the first of every group, then the second, and so on) and
+    paths_truncated."""
     turn = F.struct("rank", "seed_no", "group_no")
-    best = expanded.groupBy("chunk_id").agg(
-        F.min(turn).alias("turn"), F.slice(F.array_sort(F.collect_set(F.struct("rank", "seed_no", "group_no", "relation", "via"))), 1, hop.paths).alias("paths")
-    )
+    every = F.array_sort(F.collect_set(F.struct("rank", "seed_no", "group_no", "relation", "via")))
+    best = expanded.groupBy("chunk_id").agg(F.min(turn).alias("turn"), F.slice(every, 1, hop.paths).alias("paths"), (F.size(every) > hop.paths).alias("paths_truncated"))
     # At most seeds x groups x chunks rows.
     order = Window.orderBy("turn.rank", "turn.seed_no", "turn.group_no", "chunk_id")
-    return best.withColumn("graph_rank", F.row_number().over(order)).where(F.col("graph_rank") <= hop.candidates).select("chunk_id", "graph_rank", "paths")
+    return best.withColumn("graph_rank", F.row_number().over(order)).where(F.col("graph_rank") <= hop.candidates).select("chunk_id", "graph_rank", "paths", "paths_truncated")

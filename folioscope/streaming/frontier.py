@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.crawling import frontier_counts
 from folioscope.operators.history import upserted
+from folioscope.sources.staging import stage
 from folioscope.sources.store import Lake
 
 KEYS = ["source_id", "crawl_id", "url"]
@@ -26,10 +27,22 @@ def found(links: DataFrame) -> DataFrame:
     return links.select(*KEYS).distinct().withColumn("status", F.lit("pending")).withColumn("reason", F.lit(None).cast("string"))
 
 
+def moved(frontier: DataFrame, pages: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows that a batch changes: visited addresses with their status, and those found that are not known yet."""
+    seen = visited(pages)
+    fresh = found(links).join(frontier.select(*KEYS), KEYS, "left_anti").join(seen.select(*KEYS), KEYS, "left_anti")
+    return seen.unionByName(fresh)
+
+
 def advance(frontier: DataFrame, pages: DataFrame, links: DataFrame) -> DataFrame:
-    """The frontier after a batch: visited addresses take their status, unknown ones are added as pending."""
-    after = upserted(frontier, visited(pages), KEYS)
-    return after.unionByName(found(links).join(after.select(*KEYS), KEYS, "left_anti"))
+    """The frontier after a batch."""
+    return upserted(frontier, moved(frontier, pages, links), KEYS)
+
+
+def seeded(frontier: DataFrame, source_id: str, crawl_id: str, urls: list[str]) -> DataFrame:
+    """The rows to add for the addresses a crawl begins with, unless they are there."""
+    rows = frontier.sparkSession.createDataFrame([(source_id, crawl_id, u) for u in urls], "source_id string, crawl_id string, url string")
+    return found(rows).join(frontier.select(*KEYS), KEYS, "left_anti")
 
 
 def run(spark: SparkSession, lake: Lake, pages_path: str, schema: str, links_of, checkpoint: str, files: int = 1):
@@ -42,13 +55,12 @@ def run(spark: SparkSession, lake: Lake, pages_path: str, schema: str, links_of,
     def apply(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            lake.transact(
-                lambda base: {
-                    "replace": {"crawl_url": advance(lake.read("crawl_url", base), batch, links_of(batch))},
-                    "append": {"page_outcome": batch},
-                    "batch": f"frontier-{number}",
-                }
-            )
+
+            def change(base):
+                rows = stage(moved(lake.read("crawl_url", base), batch, links_of(batch)), "frontier")
+                return {"merge": {"crawl_url": (rows, rows.select(*KEYS), KEYS)}, "append": {"page_outcome": batch}, "batch": f"frontier-{number}"}
+
+            lake.transact(change)
         finally:
             batch.unpersist()
 

@@ -36,10 +36,14 @@ def test_ingest_search_and_recrawl(spark, tmp_path):
     assert "menu noise" not in "".join(h.text for h in hits)
     assert [r.target_known for r in e.links("docs", A).collect()] == [True]
     assert e.entity("docs", "Proxy::custom").count() == 2
-    near = e.graph_search("second part").collect()
+    near, report = e.graph_search("second part")
+    assert report.first().seeds == 1
+    near = near.collect()
     assert {r.document_url for r in near} >= {A}
     hit = e.search("beta").withColumn("hit_no", F.lit(1)).limit(1)
-    assert "Beta" in e.context(hit).collect()[0].text or e.context(hit).count() == 1
+    passages, told = e.context(hit)
+    assert passages.count() == 1 and passages.first().matches[0].text_omitted is False
+    assert told.first().asDict() | {"total_text_chars": 0} == {"skipped_stale_hits": 0, "deduplicated_chunks": 0, "omitted_chunks": 0, "total_text_chars": 0, "budget_exhausted": False}
     ids = {r.chunk_id for r in e.table("chunk").collect()}
     again = e.ingest(spark.createDataFrame([page(1, A, BODY_A, crawl="c2"), page(2, B, BODY_B.replace("for good", "no more"), crawl="c2")], SCHEMA))
     assert {(r.page_id, r.change_kind) for r in again.collect()} == {(1, "raw_unchanged"), (2, "changed")}
