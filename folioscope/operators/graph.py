@@ -159,7 +159,9 @@ def expand(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, chunks: Data
     known = landing.select("source_id", "target").distinct()
     both = out.unionByName(back).join(known, ["source_id", "target"], "left_semi").dropDuplicates(["seed_no", "relation", "target", "url"])
     linked = _top(both, ["seed_no"], ["order_url", "url", "relation"], hop.edges).withColumnRenamed("at", "group_no").withColumnRenamed("overflow", "edge_overflow")
-    reached = linked.join(landing, ["source_id", "target"]).where(F.col("anchor").isNull() | (F.col("anchor") == F.col("at_anchor")))
+    # An address writes an anchor's special characters in percents.
+    plain = F.coalesce(F.try_url_decode(F.replace(F.col("anchor"), F.lit("+"), F.lit("%2B"))), F.col("anchor"))
+    reached = linked.join(landing, ["source_id", "target"]).where(F.col("anchor").isNull() | (F.col("anchor") == F.col("at_anchor")) | (plain == F.col("at_anchor")))
     by_link = _top(reached, ["seed_no", "group_no"], ["sequence", "found_id"], hop.chunks).select(
         "seed_no", "group_no", F.col("at").alias("rank"), F.col("found_id").alias("chunk_id"), "relation", F.col("url").alias("via"), "edge_overflow", "overflow"
     )

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.operators import graph
-from folioscope.operators.lexical import latest_chunks
 from folioscope.plans.registry import query, table
 
 #: SQL shows a quotation mark in bytes as \\x22.
@@ -65,15 +64,25 @@ def links_outgoing(spark, folder):
     return graph.document_links(e, docs, "tarnwick", url).select("url", "dst_url", "target_known")
 
 
+#: Identifiers in the code blocks and the own heading of each section of the first page of every address.
 MENTIONS_SQL = r"""
-with cur as (select * exclude (rn) from (select *, row_number() over (partition by chunk_id order by crawled_at desc) as rn from chunk) x where rn = 1),
-runs as (select source_id, document_url, chunk_id, sequence, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_:]+'))) as symbol from cur),
+with one as (select * exclude (n) from (select *, row_number() over (partition by source_id, document_url, section_id order by page_id) as n from section) t where n = 1),
+said as (select source_id, document_url, document_url || '#' || cast(section_id as varchar) as chunk_id, section_id as sequence,
+  coalesce(heading, '') || chr(10) || array_to_string(list_transform(list_filter(blocks, lambda b: b.kind = 'code'), lambda b: coalesce(b.text, '')), chr(10)) as code from one),
+runs as (select source_id, document_url, chunk_id, sequence, unnest(list_distinct(regexp_extract_all(code, '[\p{L}\p{N}_:]+'))) as symbol from said),
 m as (select * from runs where regexp_full_match(symbol, '[A-Za-z_][A-Za-z0-9_]*(::[A-Za-z_][A-Za-z0-9_]*)+') and strlen(symbol) <= 256)
 """
 
 
 def mentions(spark, folder):
-    rows = latest_chunks(table(spark, folder, "chunk"), "source_id", "document_url", "sequence", "content_sha256", "text")
+    """The mentions of every section, as if each were a chunk."""
+    order = Window.partitionBy("source_id", "document_url", "section_id").orderBy("page_id")
+    one = table(spark, folder, "section").withColumn("n", F.row_number().over(order)).where("n = 1")
+    code = F.array_join(F.transform(F.filter("blocks", lambda b: b["kind"] == "code"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
+    rows = one.select(
+        "source_id", "document_url", F.concat("document_url", F.lit("#"), F.col("section_id").cast("string")).alias("chunk_id"), F.col("section_id").alias("sequence"),
+        F.lit(None).cast("string").alias("content_sha256"), F.concat_ws("\n", "heading", code).alias("code"),
+    )
     return graph.mention_edges(rows)
 
 
@@ -105,7 +114,7 @@ def entity_mentions_page(spark, folder):
 SEEDS_SQL = MENTIONS_SQL + """
 , seeds as (select chunk_id, source_id, document_url, row_number() over (order by chunk_id) as seed_no
   from (select distinct m.chunk_id, m.source_id, m.document_url from m join (select source_id, symbol from m group by source_id, symbol
-        having count(distinct document_url) > 1) w on w.source_id = m.source_id and w.symbol = m.symbol) t qualify row_number() over (order by chunk_id) <= 8),
+        having count(distinct document_url) > 1) w on w.source_id = m.source_id and w.symbol = m.symbol qualify row_number() over (partition by m.source_id order by m.chunk_id) = 1) t),
 own as (select *, row_number() over (partition by seed_no order by symbol) as group_no from (
   select distinct s.seed_no, s.source_id, s.document_url, m.symbol from seeds s join m on m.chunk_id = s.chunk_id) t),
 there as (select o.seed_no, o.group_no, o.symbol, m.chunk_id,
@@ -116,14 +125,16 @@ hop as (select seed_no, group_no + 4 as group_no, rank, chunk_id, symbol from th
 
 
 def _shared(spark, folder):
+    """One hop from the first section of each source that shares an identifier. No link of these tables leads to a known page,
+    so all that is reached is reached by identifiers; links are followed in the tests."""
     m = mentions(spark, folder)
     wide = m.groupBy("source_id", "symbol").agg(F.countDistinct("document_url").alias("documents")).where("documents > 1")
     shared = m.join(wide.drop("documents"), ["source_id", "symbol"], "left_semi")
-    first = shared.select("chunk_id", "source_id", "document_url").distinct().orderBy("chunk_id").limit(8)
+    first = shared.groupBy("source_id").agg(F.min(F.struct("chunk_id", "document_url")).alias("s")).select("source_id", "s.chunk_id", "s.document_url")
+    # One seed for each source.
     seeds = first.withColumn("seed_no", F.row_number().over(Window.orderBy("chunk_id")))
-    none = m.select("source_id", F.col("document_url").alias("src_url"), F.col("document_url").alias("dst_url"), F.col("document_url").alias("url")).where("false")
     rows = m.select("source_id", "document_url", "chunk_id", "sequence", F.lit(None).cast("string").alias("anchor")).distinct()
-    return graph.expand(seeds, none, m, rows)
+    return graph.expand(seeds, edges(spark, folder), m, rows)
 
 
 @query("graph_shared_entity", SEEDS_SQL + "select seed_no, group_no, rank, chunk_id, symbol as via from hop")

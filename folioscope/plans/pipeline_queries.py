@@ -9,24 +9,24 @@ from folioscope.functions.html_extract import document_sections, extracted
 from folioscope.functions.urls import html_candidate, in_scope, path_depth, under_prefix, without_fragment
 from folioscope.operators import chunking, crawling, history
 from folioscope.plans.registry import query, table
-from folioscope.schema import FRONTIER_STATES
+from folioscope.streaming.frontier import visited
 
 
 @query(
     "page_states",
     """select page_id, case when state = 'Blocked' then 'Blocked' when state = 'TransportFailure' then 'TransportFailure' when content_truncated then 'Truncated'
-      when octet_length(raw_body) > 4000 then 'BodyTooLarge' when status not between 200 and 299 then 'HttpFailure' else 'Fetched' end as classified from page_outcome""",
+      when octet_length(raw_body) > 16777216 then 'BodyTooLarge' when status not between 200 and 299 then 'HttpFailure' else 'Fetched' end as classified from page_outcome""",
 )
 def page_states(spark, folder):
-    """The ordered classification, with a small cap so that every state occurs."""
+    """The ordered classification."""
     failed = F.when(F.col("state") == "TransportFailure", F.coalesce("state_message", F.lit("failed")))
-    state = crawling.page_state(F.col("state") == "Blocked", failed, F.coalesce("content_truncated", F.lit(False)), F.col("raw_body"), F.col("status"), cap=4_000)
+    state = crawling.page_state(F.col("state") == "Blocked", failed, F.coalesce("content_truncated", F.lit(False)), F.col("raw_body"), F.col("status"))
     return table(spark, folder, "page_outcome").select("page_id", state.alias("classified"))
 
 
 HEADER_SQL = """
 with h as (select page_id, state, status, content_truncated, octet_length(raw_body) as bytes,
-    list_filter(headers, lambda x: lower(x.name) = 'content-type')[1].value as ct from page_outcome),
+    list_filter(headers, lambda x: lower(x.name) = 'content-type')[1].value as ct, try(decode(raw_body)) is not null or null as decodes from page_outcome),
 t as (select *, lower(cast(ct as varchar)) as said from h),
 u as (select *, trim(regexp_extract(coalesce(said, ''), '^([^;]*)', 1)) as media,
     coalesce(nullif(regexp_extract(coalesce(replace(said, '\\x22', '"'), ''), 'charset\\s*=\\s*["'']?([^\\s;"'']+)', 1), ''), 'utf-8') as charset from t)
@@ -125,45 +125,8 @@ def content_hash_check(spark, folder):
     return chunks.select("chunk_id", (F.sha2("text", 256) == F.col("content_sha256")).alias("intact"))
 
 
-STATE_SQL = """
-with s as (select snapshot_no, source_id, regexp_replace(document_url, '#.*$', '') as document_url, normalized_sha256, raw_sha256, availability, stored_at,
-    row_number() over (partition by snapshot_no, source_id, regexp_replace(document_url, '#.*$', '')
-      order by stored_at desc nulls last, coalesce(normalized_sha256, '') desc, coalesce(raw_sha256, '') desc, coalesce(availability, '') desc) as n from document_snapshot),
-o as (select * from s where snapshot_no = 1 and n = 1), f as (select * from s where snapshot_no = 2 and n = 1)
-"""
-
-
-def _states(spark, folder, no):
-    rows = table(spark, folder, "document_snapshot").where(F.col("snapshot_no") == no).withColumn("document_url", without_fragment(F.col("document_url")))
-    order = Window.partitionBy("source_id", "document_url").orderBy(
-        F.desc_nulls_last("stored_at"), *[F.desc(F.coalesce(c, F.lit(""))) for c in ("normalized_sha256", "raw_sha256", "availability")]
-    )
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1")
-
-
 @query(
     "recrawl_change_kinds",
-    STATE_SQL + """select f.source_id, f.document_url, case
-      when coalesce(f.availability, 'active') = 'removed' then case when o.raw_sha256 is not null or o.normalized_sha256 is not null then 'removed' else 'rejected' end
-      when (o.raw_sha256 is not null or o.normalized_sha256 is not null) and coalesce(o.availability, 'active') <> 'removed' and f.raw_sha256 = o.raw_sha256 then 'raw_unchanged'
-      when (o.raw_sha256 is not null or o.normalized_sha256 is not null) and coalesce(o.availability, 'active') <> 'removed' and f.normalized_sha256 = o.normalized_sha256 then 'normalized_unchanged'
-      when o.raw_sha256 is null and o.normalized_sha256 is null then 'added'
-      when f.normalized_sha256 = o.normalized_sha256 then 'reprocessed' else 'changed' end as change_kind
-    from f left join o on o.source_id = f.source_id and o.document_url = f.document_url""",
-)
-def recrawl_change_kinds(spark, folder):
-    """The second snapshot as a recrawl of the first; a tombstone is a page that answers 410."""
-    gone = F.coalesce("availability", F.lit("active")) == "removed"
-    fresh = _states(spark, folder, 2).select(
-        "source_id", "document_url", "raw_sha256", "normalized_sha256", F.col("document_url").alias("requested_url"), F.col("document_url").alias("final_url"),
-        F.when(gone, 410).otherwise(200).alias("status"), F.when(gone, "HttpFailure").otherwise("Fetched").alias("state"), F.lit(True).alias("compatible"),
-    )
-    old = _states(spark, folder, 1).select("source_id", "document_url", *[F.col(c).alias(f"old_{c}") for c in ("raw_sha256", "normalized_sha256", "availability")])
-    return fresh.join(old, ["source_id", "document_url"], "left").select("source_id", "document_url", history.change_kind().alias("change_kind"))
-
-
-@query(
-    "recrawl_change_kinds_all",
     """with s as (select snapshot_no, source_id, regexp_replace(document_url, '#.*$', '') as document_url, normalized_sha256, raw_sha256, availability,
       row_number() over (partition by snapshot_no, source_id, regexp_replace(document_url, '#.*$', '')
         order by stored_at desc nulls last, coalesce(normalized_sha256, '') desc, coalesce(raw_sha256, '') desc, coalesce(availability, '') desc) as n from document_snapshot),
@@ -178,8 +141,8 @@ def recrawl_change_kinds(spark, folder):
     from one f join p on p.snapshot_no = f.snapshot_no and p.old_no is not null
     left join one o on o.snapshot_no = p.old_no and o.source_id = f.source_id and o.document_url = f.document_url""",
 )
-def recrawl_change_kinds_all(spark, folder):
-    """Every snapshot as a recrawl of the one before it; recrawl_change_kinds is its second snapshot alone."""
+def recrawl_change_kinds(spark, folder):
+    """Every snapshot as a recrawl of the one before it; a tombstone is a page that answers 410."""
     rows = table(spark, folder, "document_snapshot").withColumn("document_url", without_fragment(F.col("document_url")))
     order = Window.partitionBy("snapshot_no", "source_id", "document_url").orderBy(
         F.desc_nulls_last("stored_at"), *[F.desc(F.coalesce(c, F.lit(""))) for c in ("normalized_sha256", "raw_sha256", "availability")]
@@ -228,14 +191,15 @@ def sources_page(spark, folder):
 
 @query(
     "frontier_status_counts",
-    """with x as (select user_id, case event_id % 5 when 0 then 'pending' when 1 then 'done' when 2 then 'failed' when 3 then 'blocked' else 'skipped' end as status from events)
-    select user_id, count(*) filter (where status = 'pending') as pending, count(*) filter (where status = 'done') as done, count(*) filter (where status = 'failed') as failed,
-      count(*) filter (where status = 'blocked') as blocked, count(*) filter (where status = 'skipped') as skipped from x group by user_id""",
+    """with v as (select source_id, crawl_id, requested_url, max(case when state in ('Fetched', 'NotModified') then 'done' when state = 'Blocked' then 'blocked'
+        when state in ('HttpFailure', 'TransportFailure', 'Truncated', 'BodyTooLarge', 'RenderFailure') then 'failed' else 'skipped' end) as status
+      from page_outcome group by source_id, crawl_id, requested_url)
+    select source_id, crawl_id, count(*) filter (where status = 'pending') as pending, count(*) filter (where status = 'done') as done, count(*) filter (where status = 'failed') as failed,
+      count(*) filter (where status = 'blocked') as blocked, count(*) filter (where status = 'skipped') as skipped from v group by source_id, crawl_id""",
 )
 def frontier_status_counts(spark, folder):
-    """The event log as a frontier: an event's number tells its status."""
-    status = F.element_at(F.array(*[F.lit(s) for s in FRONTIER_STATES]), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
-    return crawling.frontier_counts(table(spark, folder, "events").select("user_id", status.alias("status")), ["user_id"])
+    """What the captured pages made of their addresses."""
+    return crawling.frontier_counts(visited(table(spark, folder, "page_outcome")), ["source_id", "crawl_id"])
 
 
 def _sections(spark, folder):
@@ -291,11 +255,11 @@ def extracted_sections(spark, folder):
     "extraction_outcomes",
     HEADER_SQL + """select page_id, case when state <> 'Fetched' or status not between 200 and 299 or coalesce(content_truncated, false) then 'FetchNotSuccessful'
       when bytes > 16777216 then 'InputTooLarge' when media not in ('', 'text/html', 'application/xhtml+xml') then 'UnsupportedContentType'
-      when charset not in ('utf-8', 'utf8', 'us-ascii') then 'UnsupportedEncoding' when coalesce(bytes, 0) = 0 then 'EmptyContent' else 'Read' end as metadata_outcome from u""",
+      when charset not in ('utf-8', 'utf8', 'us-ascii') then 'UnsupportedEncoding' when coalesce(bytes, 0) = 0 then 'EmptyContent' when decodes is null then 'InvalidUtf8' else 'Read' end as metadata_outcome from u""",
 )
 def extraction_outcomes(spark, folder):
     found = extracted(table(spark, folder, "page_outcome"))
-    metadata = ("FetchNotSuccessful", "InputTooLarge", "UnsupportedContentType", "UnsupportedEncoding")
+    metadata = ("FetchNotSuccessful", "InputTooLarge", "UnsupportedContentType", "UnsupportedEncoding", "InvalidUtf8")
     empty = (F.col("reject_reason") == "EmptyContent") & (F.col("had_body") == 0)
     sizes = table(spark, folder, "page_outcome").select("page_id", F.coalesce(F.length("raw_body"), F.lit(0)).alias("had_body"))
     outcome = F.when(F.col("reject_reason").isin(*metadata) | empty, F.col("reject_reason")).otherwise("Read")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import tokens
+from folioscope.functions.urls import without_fragment
 from folioscope.operators import context, fusion, lexical, vectors
 from folioscope.plans.registry import query, table
 
@@ -37,7 +38,7 @@ def bm25_sql(terms: list[str], limit: int, where: str = "true", shown: str = "h.
         c{no} as (select *, {tf}, len(said) as length from (select *, {TOK.format(field)} as said from cur) t),
         s{no} as (select count(*) as docs, avg(length) as mean_length, {df} from c{no}),
         h{no} as (select chunk_id, source_id, document_url, sequence, round({score}, 6) as score, {no} as field_no
-                  from c{no}, s{no} where {every} and {where} order by score desc, source_id, document_url, sequence, chunk_id limit {limit})""")
+                  from c{no}, s{no} where {every} and {where.replace("{field}", field)} order by score desc, source_id, document_url, sequence, chunk_id limit {limit})""")
     return f"""{CHUNKS}, {','.join(parts)},
     u as (select *, row_number() over (partition by chunk_id order by score desc, field_no) as rn from (select * from h0 union all select * from h1) z),
     h as (select * from u where rn = 1 order by score desc, source_id, document_url, sequence, chunk_id limit {limit})"""
@@ -65,13 +66,12 @@ def lexical_text_prefix(spark, folder):
     return lexical.search(chunks(spark, folder), "batch report", max_text=60).select("chunk_id", "text", "text_truncated")
 
 
-@query(
-    "lexical_exact_phrase",
-    CHUNKS + r"""select chunk_id from cur
-    where regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])when two workers race($|[^\p{L}\p{N}_:])')""",
-)
+EXACT = r"regexp_matches({field}, '(?i)(^|[^\p{L}\p{N}_])when two workers race($|[^\p{L}\p{N}_:])')"
+
+
+@query("lexical_exact_phrase", bm25_sql(["race", "two", "when", "workers"], 50, EXACT) + " select chunk_id, score from h")
 def lexical_exact_phrase(spark, folder):
-    return chunks(spark, folder, "text").where(F.col("text").rlike(lexical.exact_pattern("when two workers race"))).select("chunk_id")
+    return lexical.search(chunks(spark, folder), "when two workers race", limit=50, mode="exact").select("chunk_id", "score")
 
 
 @query(
@@ -118,25 +118,26 @@ def _probe(embeddings):
 @query(
     "vector_topk",
     EMB + """select e.embedding_id, e.chunk_id, round(list_cosine_similarity(e.vector, p.vector), 9) as score from emb e, probe p
-    where e.space_id = p.space_id and e.status = 'ready' and e.vector is not null
+    where e.space_id = p.space_id and e.status = 'ready' and e.vector is not null and exists (select 1 from chunk c where c.chunk_id = e.chunk_id and c.content_sha256 = e.content_sha256)
     order by score desc, e.source_id, e.document_url, e.chunk_id, e.embedding_id limit 10""",
 )
 def vector_topk(spark, folder):
     emb = table(spark, folder, "chunk_embedding")
     space, vector = _probe(emb)
-    return vectors.vector_search(vectors.current_embeddings(emb), vector, space, 10).select("embedding_id", "chunk_id", "score")
+    return vectors.vector_search(vectors.current_embeddings(emb), vector, space, 10, chunks=chunks(spark, folder, "content_sha256")).select("embedding_id", "chunk_id", "score")
 
 
 @query(
     "vector_topk_filtered",
     EMB + """select e.embedding_id, e.chunk_id, round(list_cosine_similarity(e.vector, p.vector), 9) as score from emb e, probe p
     where e.space_id = p.space_id and e.status = 'ready' and e.vector is not null and e.source_id = 'tarnwick'
+      and exists (select 1 from chunk c where c.chunk_id = e.chunk_id and c.content_sha256 = e.content_sha256)
     order by score desc, e.source_id, e.document_url, e.chunk_id, e.embedding_id limit 5""",
 )
 def vector_topk_filtered(spark, folder):
     emb = table(spark, folder, "chunk_embedding")
     space, vector = _probe(emb)
-    found = vectors.vector_search(vectors.current_embeddings(emb), vector, space, 5, F.col("source_id") == "tarnwick")
+    found = vectors.vector_search(vectors.current_embeddings(emb), vector, space, 5, F.col("source_id") == "tarnwick", chunks(spark, folder, "content_sha256"))
     return found.select("embedding_id", "chunk_id", "score")
 
 
@@ -172,11 +173,18 @@ def chunks_to_embed(spark, folder):
 
 @query(
     "orphaned_embeddings",
-    """select embedding_id from chunk_embedding e where not exists (
-      select 1 from chunk c where c.chunk_id = e.chunk_id and c.content_sha256 = e.content_sha256)""",
+    """with last as (select source_id, regexp_replace(document_url, '#.*$', '') as document_url from document_snapshot
+        where snapshot_no = (select max(snapshot_no) from document_snapshot) and coalesce(availability, 'active') <> 'removed'),
+    live as (select distinct chunk_id, content_sha256 from chunk c where exists (select 1 from last l where l.source_id = c.source_id and l.document_url = c.document_url))
+    select embedding_id from chunk_embedding e where not exists (select 1 from live c where c.chunk_id = e.chunk_id and c.content_sha256 = e.content_sha256)""",
 )
 def orphaned_embeddings(spark, folder):
-    return vectors.orphaned(table(spark, folder, "chunk_embedding"), table(spark, folder, "chunk")).select("embedding_id")
+    """Embeddings of chunks whose document isn't in the last snapshot any more, or whose content is another."""
+    rows = table(spark, folder, "document_snapshot").where("coalesce(availability, 'active') <> 'removed'")
+    last = table(spark, folder, "document_snapshot").agg(F.max("snapshot_no").alias("snapshot_no"))
+    live = rows.join(F.broadcast(last), "snapshot_no").select("source_id", without_fragment(F.col("document_url")).alias("document_url"))
+    known = table(spark, folder, "chunk").join(live, ["source_id", "document_url"], "left_semi")
+    return vectors.orphaned(table(spark, folder, "chunk_embedding"), known).select("embedding_id")
 
 
 CAND = """
@@ -201,14 +209,13 @@ def rrf_fusion(spark, folder):
 
 @query(
     "hybrid_recall",
-    CAND + """, v as (select *, row_number() over (partition by query_id order by coalesce(vector_rank, 1000000), chunk_id) as vector_place from p)
-    select query_id, round(avg(case when place <= 8 then 1.0 else 0.0 end), 9) as recall from v where vector_place <= 4 group by query_id""",
+    CAND.replace(" + coalesce(1.0 / (60 + graph_rank), 0)", "") + """
+    select query_id, round(avg(case when place <= 8 then 1.0 else 0.0 end), 9) as recall from p where graph_rank <= 4 group by query_id""",
 )
 def hybrid_recall(spark, folder):
-    """How many of the vector search's first four the fused first eight keep."""
-    ranked = fusion.hybrid(candidates(spark, folder), 1_000_000)
-    order = Window.partitionBy("query_id").orderBy(F.coalesce("vector_rank", F.lit(1_000_000)), "chunk_id")
-    relevant = ranked.withColumn("vector_place", F.row_number().over(order)).where("vector_place <= 4").select("query_id", "chunk_id")
+    """How many of the graph's first four, which the fusion doesn't see, are among the first eight of keywords and vectors."""
+    ranked = fusion.hybrid(candidates(spark, folder), 1_000_000, ("lexical_rank", "vector_rank"))
+    relevant = ranked.where("graph_rank <= 4").select("query_id", "chunk_id")
     return fusion.recall(ranked, relevant, 8).withColumn("recall", F.round("recall", 9))
 
 
@@ -224,36 +231,37 @@ def rank_merge(spark, folder):
     return fusion.merged(*lists).select("chunk_id", F.col("rank_0").cast("long").alias("rank_0"), F.col("rank_1").cast("long").alias("rank_1"))
 
 
-HITS = CHUNKS + """, hit as (select chunk_id, source_id, document_url, sequence, row_number() over (order by chunk_id) as hit_no
-  from (select * from cur where sequence = 1) t),
+HITS = CHUNKS + """, hit as (select distinct c.chunk_id, c.source_id, c.document_url, c.sequence, 1 as hit_no
+  from cur c join fusion_candidate f on f.chunk_id = c.chunk_id where f.lexical_rank = 1),
 near as (select h.hit_no, c.chunk_id, c.source_id, c.document_url, c.sequence, c.text, abs(c.sequence - h.sequence) as distance
   from hit h join cur c on c.source_id = h.source_id and c.document_url = h.document_url and c.sequence between h.sequence - 1 and h.sequence + 1)
 """
 
 
-def _hits(rows):
-    """Every second chunk of a document is a hit; numbered by their ids' order within each document."""
-    return rows.where("sequence = 1").select("chunk_id", "source_id", "document_url", "sequence", F.lit(1).alias("hit_no"))
+def _hits(spark, folder, rows):
+    """The chunks that come first by keywords in any query."""
+    first = table(spark, folder, "fusion_candidate").where("lexical_rank = 1").select("chunk_id")
+    return rows.join(first, "chunk_id", "left_semi").select("source_id", "document_url", "sequence", F.lit(1).alias("hit_no"))
 
 
 @query("context_neighbours", HITS + "select chunk_id, document_url, sequence, distance from near")
 def context_neighbours(spark, folder):
     rows = chunks(spark, folder, "source_id", "document_url", "sequence")
-    found = context.neighbours(_hits(rows).drop("chunk_id"), rows, 1)
+    found = context.neighbours(_hits(spark, folder, rows), rows, 1)
     return found.select("chunk_id", "document_url", "sequence", "distance")
 
 
 @query(
     "context_budget",
     HITS + """, one as (select * exclude (n) from (select *, row_number() over (partition by document_url, chunk_id order by distance > 0, distance, sequence) as n from near) t where n = 1),
-    placed as (select *, least(length(text), 500) as wants, row_number() over (partition by document_url order by distance > 0, distance, sequence, chunk_id) as place from one),
+    placed as (select *, least(length(text), 4000) as wants, row_number() over (partition by document_url order by distance > 0, distance, sequence, chunk_id) as place from one),
     spent as (select *, coalesce(sum(wants) over (partition by document_url order by place rows between unbounded preceding and 1 preceding), 0) as before
-              from placed where place <= 2)
-    select document_url, chunk_id, place, cast(least(wants, 700 - before) as bigint) as takes, least(wants, 700 - before) < length(text) as truncated
-    from spent where before < 700""",
+              from placed where place <= 50)
+    select document_url, chunk_id, place, cast(least(wants, 12000 - before) as bigint) as takes, least(wants, 12000 - before) < length(text) as truncated
+    from spent where before < 12000""",
 )
 def context_budget(spark, folder):
     rows = chunks(spark, folder, "source_id", "document_url", "sequence", "text")
-    around = context.neighbours(_hits(rows).drop("chunk_id"), rows, 1)
-    taken = context.budgeted(around, max_chars=700, max_chunks=2, max_chunk_chars=500, by=("document_url",))
+    around = context.neighbours(_hits(spark, folder, rows), rows, 1)
+    taken = context.budgeted(around, by=("document_url",))
     return taken.select("document_url", "chunk_id", F.col("place").cast("long").alias("place"), "takes", "truncated")

@@ -10,7 +10,7 @@ PAGES = TABLES["page_outcome"]
 
 
 def pages(spark, rows):
-    return spark.createDataFrame([("s", "c", i, u, u, datetime(2025, 1, 1), 200, [], b"", False, state, None) for i, (u, state) in enumerate(rows)], PAGES)
+    return spark.createDataFrame([(i, "s", "c", i, u, u, datetime(2025, 1, 1), 200, [], b"", False, state, None) for i, (u, state) in enumerate(rows)], PAGES)
 
 
 def test_frontier_visits_each_address_once(spark, tmp_path):
