@@ -7,7 +7,7 @@ its successor: the window below keeps the pointer of the older snapshot one row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The address up to the end of its host, whose letter case says nothing.
@@ -48,15 +48,17 @@ def snapshot_changes(rows: DataFrame, value: str = "normalized_sha256") -> DataF
     An empty table gives no rows. Columns beyond those read are ignored, whatever their names.
     """
     rows = rows.select("snapshot_no", "source_id", "document_url", "stored_at", "availability", F.col(value).alias(value))
-    # One row for each delivery, however many records it has.
-    numbers = rows.where("snapshot_no is not null").select("snapshot_no").distinct()
+    return state_changes(snapshot_states(rows, value), rows.where("snapshot_no is not null").select("snapshot_no").distinct())
+
+
+def state_changes(states: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The same from resolved states and the numbers of all snapshots (one row for each delivery, however many records it has)."""
     calendar = numbers.withColumn("earlier", F.lag("snapshot_no").over(Window.orderBy("snapshot_no"))).withColumn(
         "later", F.lead("snapshot_no").over(Window.orderBy("snapshot_no"))
     )
     merged = Window.partitionBy("source_id", "document_url").orderBy("snapshot_no")
     walked = (
-        snapshot_states(rows, value)
-        .withColumn("old", F.lag(F.struct("snapshot_no", "value", "present")).over(merged))
+        states.withColumn("old", F.lag(F.struct("snapshot_no", "value", "present")).over(merged))
         .withColumn("next_no", F.lead("snapshot_no").over(merged))
         .join(F.broadcast(calendar), "snapshot_no")
     )
@@ -79,6 +81,17 @@ def snapshot_changes(rows: DataFrame, value: str = "normalized_sha256") -> DataF
     )
 
 
-def store_snapshots(rows: DataFrame, path: str) -> None:
-    """Keep resolved states as a table of key ranges, each sorted by key and snapshot."""
-    snapshot_states(rows).sortWithinPartitions("source_id", "document_url", "snapshot_no").write.mode("overwrite").parquet(path)
+def keep_snapshot(rows: DataFrame, path: str, value: str = "normalized_sha256") -> None:
+    """Add the resolved states of new snapshots to a kept table: a folder for each snapshot, cut into key ranges and sorted
+    by key inside each."""
+    states = snapshot_states(rows, value)
+    states.sortWithinPartitions("snapshot_no", "source_id", "document_url").write.mode("append").partitionBy("snapshot_no").parquet(path)
+
+
+def newest_changes(spark: SparkSession, path: str) -> DataFrame:
+    """What the newest kept snapshot changed; of the table, only the newest two snapshots are read."""
+    kept = spark.read.parquet(path)
+    numbers = kept.select("snapshot_no").distinct().orderBy(F.desc("snapshot_no")).limit(2)
+    two = [r[0] for r in numbers.collect()]
+    states = kept.where(F.col("snapshot_no").isin(two)).select("source_id", "document_url", "snapshot_no", "value", "present")
+    return state_changes(states, numbers)

@@ -259,3 +259,15 @@ def test_staged_tables_are_released(spark):
     assert df.count() == 10 and os.path.exists(path)
     assert staging.small_or_shuffled(df, 5).join(df, "id").count() == staging.small_or_shuffled(df).join(df, "id").count() == 10
     assert staging.release(spark) >= 1 and not os.path.exists(path)
+
+
+def test_kept_snapshots_give_the_newest_changes(spark, data, tmp_path):
+    from folioscope.operators import snapshots
+
+    rows = spark.read.parquet(f"{data}/document_snapshot.parquet")
+    path = str(tmp_path / "kept")
+    snapshots.keep_snapshot(rows.where("snapshot_no <= 4"), path)
+    snapshots.keep_snapshot(rows.where("snapshot_no = 5"), path)
+    cols = ["snapshot_no", "source_id", "document_url", "change_kind"]
+    want = sorted(map(tuple, snapshots.snapshot_changes(rows).where("snapshot_no = 5").select(*cols).collect()))
+    assert sorted(map(tuple, snapshots.newest_changes(spark, path).select(*cols).collect())) == want and want
