@@ -214,10 +214,11 @@ def judge(lines: list[str], model: Classifier, rule: Rule = Rule()) -> list[tupl
     out: list[tuple[str, str | None] | None] = [None] * len(lines)
     todo = []
     for i in np.nonzero(n)[0]:
-        if best[i, 0] == 0 and "�" not in plain[i]:
+        if best[i, 0] == 0:
             continue
         line = plain[i]
         if "�" in line:
+            # Bytes were lost; the classifier says whether as in a garbled text or as in a proper one that names the character.
             if not _only_quoted(line):
                 out[i] = (LOST, None)
             continue
