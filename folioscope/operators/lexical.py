@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import tokens
@@ -95,24 +95,40 @@ def _times(said: str, term: str) -> Column:
     return F.size(F.filter(said, lambda x: x == term))
 
 
-def _field_matches(chunks: DataFrame, field: str, terms: list[str], keep: Column, pattern: str | None) -> DataFrame:
-    """One scan for the statistics (an aggregate of one row) and one for the matches; no shuffle of texts."""
-    said = chunks.withColumn("said", tokens(F.col(field)))
-    tf = [_times("said", t) for t in terms]
-    counted = said.select(F.size("said").alias("length"), *[c.alias(f"tf_{i}") for i, c in enumerate(tf)])
-    stats = counted.agg(
-        F.count("*").alias("docs"), F.avg("length").alias("mean_length"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]
-    )
-    match = said.where(keep).withColumns({f"tf_{i}": c for i, c in enumerate(tf)})
-    for i in range(len(terms)):
-        match = match.where(F.col(f"tf_{i}") > 0)
-    if pattern:
-        match = match.where(F.col(field).rlike(pattern))
-    joined = match.join(F.broadcast(stats))
-    score = sum(
-        (bm25(F.col(f"tf_{i}"), F.size("said"), F.col("docs"), F.col(f"df_{i}"), F.col("mean_length")) for i in range(len(terms))), F.lit(0.0)
-    )
-    return joined.select("chunk_id", "source_id", "document_url", "sequence", F.round(score, 6).alias("score"), F.lit(FIELDS.index(field)).alias("field_no"))
+def _counted(chunks: DataFrame, terms: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """chunks with the length of each field in tokens and how often it holds each term: one pass over the texts."""
+    said = chunks.withColumns({f"said_{k}": tokens(F.col(f)) for k, f in enumerate(fields)})
+    counts = {f"length_{k}": F.size(f"said_{k}") for k in range(len(fields))}
+    counts |= {f"tf_{k}_{i}": _times(f"said_{k}", t) for k in range(len(fields)) for i, t in enumerate(terms)}
+    return said.withColumns(counts).drop(*[f"said_{k}" for k in range(len(fields))])
+
+
+def field_stats(chunks: DataFrame, terms: list[str], fields: tuple[str, ...] = FIELDS) -> dict[str, float]:
+    """Of each field k: docs, mean_k and df_k_i, the chunks that hold term i. One row of numbers comes to the driver."""
+    counted = _counted(chunks.select(*fields), terms, fields)
+    parts = [F.count("*").alias("docs")]
+    for k in range(len(fields)):
+        parts.append(F.avg(f"length_{k}").alias(f"mean_{k}"))
+        parts += [F.count_if(F.col(f"tf_{k}_{i}") > 0).alias(f"df_{k}_{i}") for i in range(len(terms))]
+    return counted.agg(*parts).first().asDict()
+
+
+def _score(k: int, n: int, stats: dict[str, float]) -> Column:
+    """The score of field k where it holds every one of n terms, else null."""
+    every = F.lit(True)
+    total = F.lit(0.0)
+    for i in range(n):
+        every &= F.col(f"tf_{k}_{i}") > 0
+        total += bm25(F.col(f"tf_{k}_{i}"), F.col(f"length_{k}"), F.lit(stats["docs"]), F.lit(stats[f"df_{k}_{i}"]), F.lit(stats[f"mean_{k}"]))
+    return F.when(every, F.round(total, 6))
+
+
+def field_matches(chunks: DataFrame, field: str, terms: list[str], keep: Column | None = None, pattern: str | None = None) -> DataFrame:
+    """chunk_id, source_id, document_url, sequence, score of the chunks whose field holds every term."""
+    stats = field_stats(chunks, terms, (field,))
+    rows = _counted(chunks if keep is None else chunks.where(keep), terms, (field,))
+    rows = rows.where(F.col(field).rlike(pattern)) if pattern else rows
+    return rows.withColumn("score", _score(0, len(terms), stats)).where("score is not null").select("chunk_id", "source_id", "document_url", "sequence", "score")
 
 
 ORDER = (F.desc, "score"), (F.asc, "source_id"), (F.asc, "document_url"), (F.asc, "sequence"), (F.asc, "chunk_id")
@@ -124,16 +140,23 @@ def ranked(hits: DataFrame, limit: int) -> DataFrame:
 
 
 def search(chunks: DataFrame, query: str, limit: int = 8, where: Filter = Filter(), mode: str = "auto", max_text: int = 4_000) -> DataFrame:
-    """Hits with their score, match_kind, and a prefix of the text with a flag whether it was cut."""
+    """Hits with their score, match_kind, and a prefix of the text with a flag whether it was cut.
+
+    Two passes over the chunks, both narrow: one for the statistics, one that scores both fields and keeps the first
+    `limit` rows of each task with what is shown of them.
+    """
     exact = mode == "exact" or (mode == "auto" and is_identifier(query))
     terms = query_terms(query.removesuffix("()") if exact else query)
-    pattern = exact_pattern(query) if exact else None
-    keep = where.column()
-    each = [ranked(_field_matches(chunks, f, terms, keep, pattern), limit) for f in FIELDS]
-    best = Window.partitionBy("chunk_id").orderBy(F.desc("score"), "field_no")
-    hits = each[0].unionByName(each[1]).withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
-    hits = ranked(hits, limit)
-    shown = chunks.select("chunk_id", "title", F.substring("text", 1, max_text).alias("text"), (F.length("text") > max_text).alias("text_truncated"))
-    # At most `limit` hits.
-    found = shown.join(F.broadcast(hits), "chunk_id")
-    return found.withColumn("match_kind", F.lit("exact" if exact else "full_text"))
+    stats = field_stats(chunks, terms)
+    rows = _counted(chunks.where(where.column()), terms)
+    scores = []
+    for k, field in enumerate(FIELDS):
+        score = _score(k, len(terms), stats)
+        scores.append(F.when(F.col(field).rlike(exact_pattern(query)), score) if exact else score)
+    found = rows.withColumn("score", F.greatest(*scores)).where("score is not null")
+    shown = found.select(
+        "chunk_id", "source_id", "document_url", "sequence", "score", "title", F.substring("text", 1, max_text).alias("text"),
+        (F.length("text") > max_text).alias("text_truncated"), F.lit("exact" if exact else "full_text").alias("match_kind"),
+        *[c for c in ("heading_path", "source_url", "anchor", "content_sha256", "crawl_id", "crawled_at") if c in chunks.columns],
+    )
+    return ranked(shown, limit)

@@ -227,7 +227,7 @@ def hybrid_recall(spark, folder):
 )
 def rank_merge(spark, folder):
     rows = chunks(spark, folder)
-    lists = [lexical.ranked(lexical._field_matches(rows, f, ["late", "scheduler"], F.lit(True), None), 10) for f in lexical.FIELDS]
+    lists = [lexical.ranked(lexical.field_matches(rows, f, ["late", "scheduler"]), 10) for f in lexical.FIELDS]
     return fusion.merged(*lists).select("chunk_id", F.col("rank_0").cast("long").alias("rank_0"), F.col("rank_1").cast("long").alias("rank_1"))
 
 
