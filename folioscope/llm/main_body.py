@@ -106,7 +106,7 @@ def _titled(blocks: list[tuple[int, Block]], n: int, title: str) -> list[bool]:
 
 
 STREAMS = (
-    "page_id long, host string, url long, tokens array<int>, sizes array<int>, prints array<long>, place array<int>, slots array<string>, around array<array<int>>, titled array<boolean>, loose array<int>, kinds array<string>, links array<int>"
+    "page_id long, host string, url long, tokens array<int>, sizes array<int>, prints array<long>, place array<int>, slots array<string>, around array<array<int>>, titled array<boolean>, loose array<int>, links array<int>"
 )
 
 
@@ -117,7 +117,7 @@ def page_streams(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(10)]
+            cols: list[list] = [[] for _ in range(9)]
             for host, body in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 page = decoded(body)
                 found = containers(page)
@@ -129,13 +129,13 @@ def page_streams(pages: DataFrame) -> DataFrame:
                 row = (
                     np.array(tokens, np.uint32).view(np.int32), sizes, [None if b.kind == "heading" else _print(b.text) for _, b in blocks], [s for s, _ in blocks],
                     [x for _, x in elements.values()], [[elements[a[:i]][0] for i in range(len(a) + 1) if a[:i] in elements] for a in elements],
-                    _titled(blocks, len(elements), title), [b.loose for _, b in blocks], [b.kind for _, b in blocks], [b.links for _, b in blocks],
+                    _titled(blocks, len(elements), title), [b.loose for _, b in blocks], [b.links for _, b in blocks],
                 )
                 for c, v in zip(cols, row):
                     c.append(v)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.bool_(), pa.int32(), pa.string(), pa.int32())
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.bool_(), pa.int32(), pa.int32())
             made = [pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds)]
-            names = ["page_id", "host", "url", "tokens", "sizes", "prints", "place", "slots", "around", "titled", "loose", "kinds", "links"]
+            names = ["page_id", "host", "url", "tokens", "sizes", "prints", "place", "slots", "around", "titled", "loose", "links"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=names)
 
     url = F.xxhash64(F.coalesce(F.regexp_replace("final_url", r"(?s)#.*$", ""), F.col("page_id").cast("string")))
@@ -143,7 +143,7 @@ def page_streams(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", F.col("source_id").alias("host"), url.alias("url"), "raw_body").mapInArrow(run, STREAMS)
 
 
-WEIGHED = "page_id long, host string, runs array<long>, held array<int>, inside array<boolean>, prints array<long>, place array<int>, slots array<string>, around array<array<int>>, titled array<boolean>, fresh array<int>, net array<double>, loose array<int>, kinds array<string>, links array<int>, first boolean"
+WEIGHED = "page_id long, host string, runs array<long>, held array<int>, inside array<boolean>, prints array<long>, place array<int>, slots array<string>, around array<array<int>>, titled array<boolean>, fresh array<int>, net array<double>, loose array<int>, first boolean"
 
 
 def _weigh(rule: Furniture):
@@ -207,9 +207,9 @@ def _weigh(rule: Furniture):
             [
                 table.column("page_id"), table.column("host"), cut(runs.view(np.int64), n_blocks, pa.int64()), cut(count, n_blocks, pa.int32()),
                 cut(within_block >= sizes, n_blocks, pa.bool_()), table.column("prints"), table.column("place"), table.column("slots"), table.column("around"), table.column("titled"),
-                cut(fresh, n_slots, pa.int32()), cut(net, n_slots, pa.float64()), table.column("loose"), table.column("kinds"), table.column("links"), pa.array(seen),
+                cut(fresh, n_slots, pa.int32()), cut(net, n_slots, pa.float64()), table.column("loose"), pa.array(seen),
             ],
-            names=["page_id", "host", "runs", "held", "inside", "prints", "place", "slots", "around", "titled", "fresh", "net", "loose", "kinds", "links", "first"],
+            names=["page_id", "host", "runs", "held", "inside", "prints", "place", "slots", "around", "titled", "fresh", "net", "loose", "first"],
         )
 
     return weigh

@@ -42,6 +42,8 @@ N_SIDE = 30
 OUTCOMES = ("rendered", "failed")
 PROPER, RESIDUE, NOTICE = 0, 1, 2
 PIECE, STEP = 64, 32
+#: The kinds of blocks that are told apart.
+KINDS = {"heading": 1, "code": 2, "list": 3}
 SPLIT = re.compile(r"(?<=[.!?])\s+(?=\S)|\n+|\t+")
 
 
@@ -228,7 +230,7 @@ def fit(texts: list[str], sides: np.ndarray, labels: np.ndarray, hosts: np.ndarr
 
 
 PARSED = (
-    "page_id long, host string, failed boolean, url long, outcome int, title string, hidden string, texts array<string>, kinds array<string>, runs array<long>, place array<int>, "
+    "page_id long, host string, failed boolean, url long, outcome int, title string, hidden string, texts array<string>, kinds array<int>, runs array<long>, place array<int>, "
     "loose array<int>, links array<int>, slots array<string>, around array<array<int>>, titled array<boolean>, fresh array<int>"
 )
 
@@ -256,13 +258,13 @@ def read_pages(pages: DataFrame) -> DataFrame:
                     runs.append(xxhash.xxh64_intdigest(f"{b.kind}\n{text}".encode("utf-8", "replace"), 9) - (1 << 63))
                 row = (
                     title.encode("utf-8", "replace").decode(), "\n".join(t for c in found for t in c.noscript).encode("utf-8", "replace").decode(),
-                    [b.text.encode("utf-8", "replace").decode() for _, b in blocks], [b.kind for _, b in blocks], runs, [e for e, _ in blocks], loose,
+                    [b.text.encode("utf-8", "replace").decode() for _, b in blocks], [KINDS.get(b.kind, 0) for _, b in blocks], runs, [e for e, _ in blocks], loose,
                     [b.links for _, b in blocks], [x for _, x in elements.values()], [[elements[a[:i]][0] for i in range(len(a) + 1) if a[:i] in elements] for a in elements],
                     _titled(blocks, len(elements), title), fresh,
                 )
                 for c, v in zip(cols, row):
                     c.append(v)
-            many = [pa.list_(k) for k in (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.bool_(), pa.int32())]
+            many = [pa.list_(k) for k in (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.bool_(), pa.int32())]
             made = [pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.string(), *many])]
             names = [p.split(" ")[0] for p in PARSED.split(", ")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *made], names=names)
@@ -315,24 +317,24 @@ def read_bodies(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
                 common, spread = set(common or ()), set(spread or ())
                 score = [rule.slot_weight * w + rule.title_words * t for w, t in zip(weights or [0.0] * len(around), titled)]
                 for i, e in enumerate(place):
-                    worth = -rule.furniture_words * len(texts[i].split()) if i in common else loose[i] if links[i] < 2 and kinds[i] != "heading" else 0
+                    worth = -rule.furniture_words * len(texts[i].split()) if i in common else loose[i] if links[i] < 2 and kinds[i] != 1 else 0
                     for o in around[e]:
                         score[o] += worth
                 main = max(range(len(score)), key=lambda e: (score[e], -e), default=None)
                 words = frozenset(title.lower().split())
-                mine = [i for i, e in enumerate(place) if main in around[e] and i not in common and not (kinds[i] == "list" and not loose[i])]
-                sizes = {i: len(texts[i].split()) for i in mine if kinds[i] != "heading"}
+                mine = [i for i, e in enumerate(place) if main in around[e] and i not in common and not (kinds[i] == 3 and not loose[i])]
+                sizes = {i: len(texts[i].split()) for i in mine if kinds[i] != 1}
                 total = sum(sizes.values())
                 said, rest, sides = [], [], []
                 for i in mine:
-                    if kinds[i] == "code":
+                    if kinds[i] == 2:
                         continue
                     for x in SPLIT.split(texts[i]):
                         if x:
                             n = len(x.split()) if i in sizes else 0
                             said.append(x)
                             rest.append(n)
-                            sides.append(side_features(x, kinds[i] == "heading", words, i in spread, total - sizes.get(i, 0), outcome))
+                            sides.append(side_features(x, kinds[i] == 1, words, i in spread, total - sizes.get(i, 0), outcome))
                 if not total:
                     for x in SPLIT.split(hidden):
                         if x:
