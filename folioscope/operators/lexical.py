@@ -19,7 +19,7 @@ from folioscope.functions.urls import under_prefix
 K1, B = 1.2, 0.75
 FIELDS = ("text", "title")
 TOKEN = re.compile(r"[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+")
-IDENTIFIER = re.compile(r"^[A-Za-z_]\w*(?:::[A-Za-z_]\w*)+(?:\(\))?$")
+IDENTIFIER = re.compile(r"^[^\W\d]\w*(?:::[^\W\d]\w*)+(?:\(\))?$")
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.urls import joined_url
 from folioscope.operators.crawling import markdown_links, sitemap_links
 
 FORMATS = ("parquet", "orc", "json", "csv", "text", "binaryFile")
@@ -31,10 +32,11 @@ def pages_from_files(spark: SparkSession, path: str, source_id: str, crawl_id: s
 
 
 def manifest_urls(manifests: DataFrame) -> DataFrame:
-    """source_id, url from rows of source_id, name and text of llms.txt and sitemap files, each address once."""
-    linked = manifests.where(~F.col("name").endswith(".xml")).select("source_id", F.explode(markdown_links(F.col("text"))).alias("url"))
-    mapped = manifests.where(F.col("name").endswith(".xml")).select("source_id", F.explode(sitemap_links(F.col("text"))["pages"]).alias("url"))
-    return linked.unionByName(mapped).distinct()
+    """source_id, url from rows of source_id, name, text and the address (base_url) of llms.txt and sitemap files, each
+    address once. Relative ones are resolved against the file's own address; those that can't be are left out."""
+    linked = manifests.where(~F.col("name").endswith(".xml")).select("source_id", "base_url", F.explode(markdown_links(F.col("text"))).alias("href")).select("source_id", joined_url("base_url", "href").alias("url"))
+    mapped = manifests.where(F.col("name").endswith(".xml")).select("source_id", "base_url", F.explode(sitemap_links(F.col("text"))["pages"]).alias("href")).select("source_id", joined_url("base_url", "href").alias("url"))
+    return linked.unionByName(mapped).where("url is not null").distinct()
 
 
 def as_json(df: DataFrame) -> DataFrame:

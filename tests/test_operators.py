@@ -271,3 +271,13 @@ def test_kept_snapshots_give_the_newest_changes(spark, data, tmp_path):
     cols = ["snapshot_no", "source_id", "document_url", "change_kind"]
     want = sorted(map(tuple, snapshots.snapshot_changes(rows).where("snapshot_no = 5").select(*cols).collect()))
     assert sorted(map(tuple, snapshots.newest_changes(spark, path).select(*cols).collect())) == want and want
+
+
+def test_manifests_and_identifiers(spark):
+    from folioscope.operators.lexical import is_identifier
+    from folioscope.sources.readers import manifest_urls
+
+    rows = [("s", "llms.txt", "[a](guide/a) [b](https://y.test/b)", "https://x.test/docs/llms.txt"), ("s", "sitemap.xml", "<url><loc>https://x.test/c?a=1&amp;b=2</loc></url>", "https://x.test/sitemap.xml")]
+    got = {r.url for r in manifest_urls(spark.createDataFrame(rows, "source_id string, name string, text string, base_url string")).collect()}
+    assert got == {"https://x.test/docs/guide/a", "https://y.test/b", "https://x.test/c?a=1&b=2"}
+    assert is_identifier("Größe::maß") and is_identifier("a::b()") and not is_identifier("1a::b") and not is_identifier("plain")
