@@ -41,6 +41,13 @@ def test_a_line_needs_a_share_of_a_large_source(spark):
     assert rl.repeated_lines(frame(spark, rows[:100])).count() == 3
 
 
+def test_lines_of_a_third_of_all_rows_by_shuffle(spark, monkeypatch):
+    rows = [chunk(f"c{i}", f"Own words {chr(97 + i % 26) * 4} {chr(97 + i // 26) * 4} here\nThe same notice on every page", source=f"s{i % 3}", url=f"u{i}") for i in range(90)]
+    small = {tuple(r) for r in rl.repeated_lines(frame(spark, rows)).collect()}
+    monkeypatch.setattr(rl, "small_or_shuffled", lambda df: df.hint("merge"))
+    assert {tuple(r) for r in rl.repeated_lines(frame(spark, rows)).collect()} == small == {(f"c{i}", 1) for i in range(90)}
+
+
 def brute_pairs(texts, n, threshold, least):
     import re
 
