@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.pages import Block, Container, containers, decoded, title_of
+from folioscope.llm.pages import Block, Container, containers, decoded, elements_of, title_of
 from folioscope.llm.suffix_array import covered, distinct_owners, suffix_array, whole_supports
 from folioscope.sources.staging import small_or_shuffled, stage
 
@@ -123,13 +123,10 @@ def page_streams(pages: DataFrame) -> DataFrame:
                 found = containers(page)
                 title = title_of(page)
                 tokens, sizes = stream(found, host, title, words)
-                # The page's elements that hold text of their own; a block's place is the number of its element here.
-                elements: dict[tuple[int, ...], tuple[int, str]] = {}
-                blocks = [(elements.setdefault(c.inside, (len(elements), c.slot))[0], b) for c in found for b in c.blocks]
+                blocks, slots, around = elements_of(found)
                 row = (
                     np.array(tokens, np.uint32).view(np.int32), sizes, [None if b.kind == "heading" else _print(b.text) for _, b in blocks], [s for s, _ in blocks],
-                    [x for _, x in elements.values()], [[elements[a[:i]][0] for i in range(len(a) + 1) if a[:i] in elements] for a in elements],
-                    _titled(blocks, len(elements), title), [b.loose for _, b in blocks], [b.links for _, b in blocks],
+                    slots, around, _titled(blocks, len(slots), title), [b.loose for _, b in blocks], [b.links for _, b in blocks],
                 )
                 for c, v in zip(cols, row):
                     c.append(v)

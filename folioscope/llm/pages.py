@@ -38,10 +38,12 @@ class Block:
 
 @dataclass(slots=True)
 class Container:
-    """Blocks that follow each other in one element: its slot, its number on the page and those of the elements around it."""
+    """Blocks that follow each other in one element: its slot, and the numbers on the page and the slots of the elements it
+    stands in, itself last."""
 
     slot: str
     inside: tuple[int, ...] = ()
+    slots: tuple[str, ...] = ()
     blocks: list[Block] = field(default_factory=list)
     noscript: list[str] = field(default_factory=list)
 
@@ -74,7 +76,7 @@ def containers(page: str) -> list[Container]:
     """The page's text in order, cut wherever an element begins or ends that may hold text of its own."""
     out: list[Container] = []
     here = Container("")
-    boxes: list[tuple[str, str, tuple[int, ...]]] = []
+    boxes: list[tuple[str, str, tuple[int, ...], tuple[str, ...]]] = []
     opened = 0
     layout = 0
     text: list[str] = []
@@ -169,8 +171,9 @@ def containers(page: str) -> list[Container]:
             else:
                 attrs = SPACE.sub(" ", given).replace("'", '"').strip()
                 opened += 1
-                around, path = (boxes[-1][2], boxes[-1][1]) if boxes else ((), "")
-                boxes.append((tag, f"{path}/{tag} {attrs}".rstrip(), (*around, opened)))
+                _, path, around, paths = boxes[-1] if boxes else ("", "", (), ())
+                path = f"{path}/{tag} {attrs}".rstrip()
+                boxes.append((tag, path, (*around, opened), (*paths, path)))
             go_on()
         elif tag in ("p", "dt", "dd"):
             kind = "" if closing else "paragraph"
@@ -197,3 +200,23 @@ def containers(page: str) -> list[Container]:
     flush()
     go_on()
     return out
+
+
+def elements_of(found: list[Container]) -> tuple[list[tuple[int, Block]], list[str], list[list[int]]]:
+    """The page's blocks, each with the number of its element; the slots of the elements that hold blocks, themselves or
+    within; and for each element those around it, itself included."""
+    at: dict[tuple[int, ...], int] = {}
+    slots: list[str] = []
+    around: list[list[int]] = []
+    blocks = []
+    for c in found:
+        if not c.blocks:
+            continue
+        for depth in range(0 if not c.inside else 1, len(c.inside) + 1):
+            key = c.inside[:depth]
+            if key not in at:
+                at[key] = len(slots)
+                slots.append(c.slots[depth - 1] if depth else "")
+                around.append([*(around[at[key[:-1]]] if depth > 1 else []), at[key]])
+        blocks += [(at[c.inside], b) for b in c.blocks]
+    return blocks, slots, around

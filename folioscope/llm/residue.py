@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.main_body import DIGITS, HOST, TITLE, Furniture, _titled, frequent_runs, slot_weights
-from folioscope.llm.pages import containers, decoded, title_of
+from folioscope.llm.pages import containers, decoded, elements_of, title_of
 from folioscope.llm.phrases import EXPLAINED, FILLER, MESSAGE, PLACEHOLDER
 from folioscope.sources.staging import small_or_shuffled, stage
 
@@ -55,9 +55,9 @@ class Fit:
     other_words, share_of_words: how much may stand beside a message.
     """
 
-    sample_pages: int = 3_000
-    sample_sentences: int = 10_000
-    rounds: int = 64
+    sample_pages: int = 5_000
+    sample_sentences: int = 13_000
+    rounds: int = 56
     rate: float = 0.9
     decay: float = 1e-5
     held_out: int = 5
@@ -245,9 +245,8 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 page = decoded(body)
                 found, title = containers(page), title_of(page)
                 name = re.compile(re.escape(host), re.I) if host else None
-                elements: dict[tuple[int, ...], tuple[int, str]] = {}
-                blocks = [(elements.setdefault(c.inside, (len(elements), c.slot))[0], b) for c in found for b in c.blocks]
-                fresh = [0] * len(elements)
+                blocks, slots, around = elements_of(found)
+                fresh = [0] * len(slots)
                 runs, loose = [], []
                 for e, b in blocks:
                     text = b.text.replace(title, TITLE) if title and title in b.text else b.text
@@ -259,8 +258,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 row = (
                     title.encode("utf-8", "replace").decode(), "\n".join(t for c in found for t in c.noscript).encode("utf-8", "replace").decode(),
                     [b.text.encode("utf-8", "replace").decode() for _, b in blocks], [KINDS.get(b.kind, 0) for _, b in blocks], runs, [e for e, _ in blocks], loose,
-                    [b.links for _, b in blocks], [x for _, x in elements.values()], [[elements[a[:i]][0] for i in range(len(a) + 1) if a[:i] in elements] for a in elements],
-                    _titled(blocks, len(elements), title), fresh,
+                    [b.links for _, b in blocks], slots, around, _titled(blocks, len(slots), title), fresh,
                 )
                 for c, v in zip(cols, row):
                     c.append(v)
