@@ -99,7 +99,19 @@ def p5_found(spark, folder):
     return found.select("query_id", "chunk_id")
 
 
-@query("p7_found")
+#: Every pair that shares a shingle, which small tables alone allow.
+P7_SQL = r"""
+with one as (select chunk_id, text from (select *, row_number() over (partition by chunk_id order by crawled_at desc) as rn from chunk where text is not null and chunk_id is not null) t where rn = 1),
+said as (select chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from one),
+sets as (select chunk_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from said where len(w) >= 40),
+each as (select chunk_id, len(s) as n, unnest(s) as t from sets),
+met as (select a.chunk_id as chunk_a, b.chunk_id as chunk_b, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb
+  from each a join each b on a.t = b.t and a.chunk_id < b.chunk_id group by a.chunk_id, b.chunk_id)
+select chunk_a, chunk_b from met where shared >= 0.5 * (na + nb - shared)
+"""
+
+
+@query("p7_found", P7_SQL)
 def p7_found(spark, folder):
     return near_duplicates.near_duplicate_pairs(table(spark, folder, "chunk"))
 
@@ -109,7 +121,18 @@ def p7_groups(spark, folder):
     return near_duplicates.near_duplicate_groups(table(spark, folder, "chunk"))
 
 
-@query("p4_found")
+#: Every pair of a space, which small tables alone allow.
+P4_SQL = """
+with v as (select space_id, embedding_id, vector from (select *, row_number() over (partition by space_id, chunk_id order by updated_at desc nulls last, embedding_id desc) as rn
+    from chunk_embedding where status = 'ready' and vector is not null and len(vector) > 0) t where rn = 1 and list_inner_product(vector, vector) > 0),
+near as (select a.embedding_id as a, b.embedding_id as b, row_number() over (partition by a.embedding_id
+    order by round(list_cosine_similarity(a.vector, b.vector), 9) desc, b.embedding_id) as place
+  from v a join v b on a.space_id = b.space_id and len(a.vector) = len(b.vector) and a.embedding_id <> b.embedding_id)
+select distinct least(a, b) as embedding_a, greatest(a, b) as embedding_b from near where place <= 5
+"""
+
+
+@query("p4_found", P4_SQL)
 def p4_found(spark, folder):
     return vector_neighbours.neighbour_pairs(table(spark, folder, "chunk_embedding"))
 
