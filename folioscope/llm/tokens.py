@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,8 +26,10 @@ def counter(path: str = TOKENIZER) -> Callable[[str], int]:
     if path not in _counters:
         import regex
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        # Where the machine lacks the file, the one that came with the job.
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         find = regex.compile(PATTERN).findall
@@ -52,6 +55,9 @@ def token_sizes(documents: DataFrame, *keep: str, tokenizer: str = TOKENIZER) ->
 
     Rows that repeat a doc_id count once, with the largest size.
     """
+    context = documents.sparkSession.sparkContext
+    if not context.master.startswith("local"):
+        context.addFile(tokenizer)
     rows = documents.where("doc_id is not null").select("doc_id", "text", *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 
