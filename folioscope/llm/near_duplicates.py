@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import words
-from folioscope.sources.staging import small_or_shuffled, stage
+from folioscope.sources.staging import small_or_shuffled, stage, stage_by
 
 WORD = r"\p{L}\p{N}"
 
@@ -66,13 +66,14 @@ def _shingles(said: Column, n: int) -> Column:
 def text_classes(chunks: DataFrame, sketch: Sketch) -> tuple[DataFrame, DataFrame]:
     """(key, cid), one row for each chunk, and staged (cid, grams), one row for each text with enough words.
 
-    cid is a 64-bit hash of the text; copies meet before they are cut into words.
+    cid is a 64-bit hash of the text; copies meet before they are cut into words. The grams are by far the largest
+    table and are joined by cid again and again: they are staged by it.
     """
     rows = chunks.where("text is not null and chunk_id is not null")
     rows = rows.select(F.col("chunk_id").alias("key"), "crawled_at", F.xxhash64("text").alias("cid"), "text")
     texts = rows.groupBy("cid").agg(F.any_value("text").alias("text")).select("cid", words(F.col("text"), WORD).alias("said"))
     texts = texts.where(F.size("said") >= sketch.min_words)
-    classes = stage(texts.select("cid", _shingles(F.col("said"), sketch.shingle).alias("grams")), "classes")
+    classes = stage_by(texts.select("cid", _shingles(F.col("said"), sketch.shingle).alias("grams")), "cid", "classes")
     return rows.groupBy("key").agg(F.max(F.struct("crawled_at", "cid")).alias("last")).select("key", "last.cid"), classes
 
 

@@ -41,6 +41,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As stage, but in one bucket for each shuffle partition of the key, so joins on the key read the table as it lies
+    and never shuffle it, however large it and the other side are. A df that was just grouped by the key isn't shuffled
+    for it either.
+
+    Only a table of the catalog can have buckets; it leaves the catalog as soon as it is read, the files stay.
+    """
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/stage-{label}-{name}", f"stage_{name}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _staged.append(path)
+    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(table)
+    try:
+        return spark.table(table)
+    finally:
+        spark.sql(f"drop table {table}")
+
+
 _staged: list[str] = []
 
 

@@ -85,6 +85,26 @@ def test_pairs_equal_brute_force(spark):
     assert "none" not in groups and "short" not in groups
 
 
+def test_shingle_sets_are_never_shuffled_to_meet_links(spark):
+    texts = families(random.Random(3), 20, 3)
+    rows = frame(spark, [chunk(k, t) for k, t in texts.items()])
+    members, classes = nd.text_classes(rows, nd.CHUNK_COPIES)
+    key = {r.cid: r.key for r in members.collect()}
+    links = classes.select(F.col("cid").alias("a")).join(classes.select(F.col("cid").alias("b")), F.expr("a < b"))
+    links = nd.stage(links, "links").hint("merge")
+    ends = links.select(F.col("a").alias("cid")).hint("merge")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (nd.verified(links, classes, 0.5), classes.join(ends, "cid", "left_semi"))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The links, and these with the sets of one end; the ends alone.
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 1]
+    got = {tuple(sorted((key[r.a], key[r.b]))) for r in nd.verified(links, classes, 0.5).collect()}
+    assert got == brute_pairs(texts, 3, 0.5, 40)
+    assert classes.count() == len(texts) and not [t for t in spark.catalog.listTables() if t.name.startswith("stage_")]
+
+
 def test_hot_buckets_in_two_levels_give_the_same_groups(spark):
     rng = random.Random(2)
     texts = families(rng, 1, 1)
